@@ -127,13 +127,21 @@ def word_bigrams_tagged(tokens) -> Column:
                        lambda i: F.concat_ws(" ", F.element_at(a, i), F.element_at(a, i + 1)))
 
 
+def _slice_join(a: Column, n: int):
+    # A one-argument lambda: PySpark reads a second parameter as the element index.
+    return lambda i: F.array_join(F.slice(a, i, n), " ")
+
+
+def _substr_at(p: Column, n: int):
+    return lambda i: F.substr(p, i, F.lit(n))
+
+
 def word_ngrams(tokens, n_min: int = 1, n_max: int = 3) -> Column:
     """All word n-grams for n in [n_min, n_max], joined by a space, shorter n first."""
     a = _c(tokens)
     parts = []
     for n in range(n_min, n_max + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.size(a) - n + 1),
-                            lambda i, n=n: F.array_join(F.slice(a, i, n), " "))
+        grams = F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), _slice_join(a, n))
         parts.append(F.when(F.size(a) >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 
@@ -163,8 +171,7 @@ def char_wb_ngrams(c, n_min: int = 1, n_max: int = 6) -> Column:
         L = F.length(p)
         parts = []
         for n in range(n_min, n_max + 1):
-            grams = F.transform(F.sequence(F.lit(1), L - n + 1),
-                                lambda i, n=n: F.substr(p, i, F.lit(n)))
+            grams = F.transform(F.sequence(F.lit(1), L - n + 1), _substr_at(p, n))
             parts.append(F.when(L > n, grams).otherwise(F.array().cast("array<string>")))
         parts.append(F.when(L <= n_max, F.array(p)).otherwise(F.array().cast("array<string>")))
         return F.concat(*parts)

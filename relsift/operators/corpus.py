@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows
 from ..functions.text import WS_CLASS, remove_punct_keep_dash, remove_stopwords, tokenize_nonempty
 from .skew import topk_per_group
 
@@ -47,7 +48,7 @@ def _doc_words(corpus: DataFrame) -> DataFrame:
 
 def word_document_frequency(corpus: DataFrame) -> DataFrame:
     """``(word, n)``: number of documents containing the word."""
-    return (_doc_words(corpus).select(F.explode("words").alias("word"))
+    return (explode_rows(_doc_words(corpus), F.col("words"), "word")
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -70,10 +71,10 @@ def word_cooccurrence(corpus: DataFrame, keep_words: DataFrame | None = None) ->
     """
     docs = _doc_words(corpus)
     if keep_words is not None:
-        tok = docs.select("doc", F.explode("words").alias("word"))
+        tok = explode_rows(docs, F.col("words"), "word", "doc")
         tok = tok.join(keep_words.select("word").distinct(), "word", "left_semi")
         docs = tok.groupBy("doc").agg(F.collect_list("word").alias("words"))
-    return (docs.select(F.explode(_pairs_of(F.col("words"))).alias("p"))
+    return (explode_rows(docs, _pairs_of(F.col("words")), "p")
             .groupBy(F.col("p.word1").alias("word1"), F.col("p.word2").alias("word2"))
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -117,8 +118,8 @@ def _phrase_pairs(rel: DataFrame, query: str, title: str) -> DataFrame:
     """(id, w1, w2, mult): every (query word, title word) pair with duplicates."""
     # Row-local product of two short arrays: built per row, not a join on a hot key.
     both = rel.select("id", tokenize_nonempty(query).alias("_q"), tokenize_nonempty(title).alias("_t"))
-    pairs = both.select("id", F.explode(F.flatten(F.transform(
-        "_q", lambda a: F.transform("_t", lambda b: F.struct(a.alias("w1"), b.alias("w2")))))).alias("p"))
+    pairs = explode_rows(both, F.flatten(F.transform(
+        "_q", lambda a: F.transform("_t", lambda b: F.struct(a.alias("w1"), b.alias("w2"))))), "p", "id")
     return (pairs.groupBy("id", F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2"))
             .agg(F.count(F.lit(1)).alias("mult")))
 
@@ -148,7 +149,7 @@ def phrase_distance(rel: DataFrame, corpus: DataFrame, query: str = "query", tit
     vocab = dfc.select("word")
     qv = rows.select(F.col("w1").alias("word")).distinct().withColumn("inq", F.lit(True))
     allv = rows.select(F.col("w1").alias("word")).union(rows.select(F.col("w2").alias("word"))).distinct()
-    tok = (_doc_words(corpus).select("doc", F.explode("words").alias("word"))
+    tok = (explode_rows(_doc_words(corpus), F.col("words"), "word", "doc")
            .join(vocab, "word", "left_semi").join(allv, "word", "left_semi")
            .join(qv, "word", "left").select("doc", "word", F.coalesce("inq", F.lit(False)).alias("inq")))
     left = tok.where("inq").select("doc", F.col("word").alias("a"))
@@ -228,7 +229,8 @@ def top_terms(df: DataFrame, col: str, n: int = 250, lower: int = 0,
               stopwords: list[str] | None = None) -> DataFrame:
     """Most frequent words (total occurrences) of a text column with count >
     ``lower``: ``(term, count, rank)``. Global top-k (per-task top-k, then merge)."""
-    words = df.select(F.explode(F.split(term_text(col, stopwords), WS_CLASS, -1)).alias("term"))
+    words = explode_rows(df.select(term_text(col, stopwords).alias("_text")),
+                         F.split("_text", WS_CLASS, -1), "term")
     counts = (words.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
               .where(F.col("count") > lower))
     top = counts.orderBy(F.desc("count"), F.asc("term")).limit(n)
@@ -248,7 +250,8 @@ def term_indicators(df: DataFrame, col: str, vocabulary: list[str], prefix: str
     text = term_text(col, stopwords)
     if long_form:
         vocab = F.array(*[F.lit(w) for w in vocabulary])
-        return (df.select("id", F.explode(F.filter(vocab, lambda w: F.contains(text, w))).alias("term"))
+        staged = df.select("id", text.alias("_text"))
+        return (explode_rows(staged, F.filter(vocab, lambda w: F.contains(F.col("_text"), w)), "term", "id")
                 .select("id", F.concat(F.lit(prefix), F.col("term")).alias("term")))
     return df.select("id", *[F.contains(text, F.lit(w)).cast("int").alias(prefix + w) for w in vocabulary])
 

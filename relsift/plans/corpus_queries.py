@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows
 from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..operators import corpus as C
 from . import oracle as O
@@ -143,7 +144,7 @@ WHERE c.co_rank <= {CLOSEST_LIMIT}"""
 def q_closest(spark, sf_dir):
     s, corp = _corpus(spark, sf_dir)
     vocab, pairs = C.cooccurrence_pruned(corp)
-    probes = s.select(F.explode(F.split("query", " ")).alias("word"))
+    probes = explode_rows(s, F.split("query", " "), "word")
     return C.closest_words(probes, pairs, vocab, C.corpus_size(corp), limit=CLOSEST_LIMIT)
 
 
