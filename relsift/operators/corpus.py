@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
 from ..functions.text import WS_CLASS, remove_punct_keep_dash, remove_stopwords, tokenize_nonempty
+from ..session import materialize
 from .skew import topk_per_group
 
 # Pruning thresholds of the reference dictionary.
@@ -134,22 +135,20 @@ def phrase_distance(rel: DataFrame, corpus: DataFrame, query: str = "query", tit
     ``pruned`` uses the pruned dictionary (df and pair counts >= ``min_count``,
     words of length >= ``min_len``) and skips equal words, as the R variant.
     """
-    dfc = df_counts if df_counts is not None else word_document_frequency(corpus)
+    # Document words and row pairs feed several branches: materialize each once.
+    docs = materialize(_doc_words(corpus))
+    dfc = df_counts if df_counts is not None else (
+        explode_rows(docs, F.col("words"), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     if pruned:
         dfc = pruned_vocabulary(dfc, min_count, min_len)
-    n_docs = corpus_size(corpus)
-    rows = _phrase_pairs(rel, query, title)
-    rows = rows.where(F.col("w1") != F.col("w2"))  # a word has no pair with itself
+    n_docs = docs.agg(F.count(F.lit(1)).alias("N"))
+    rows = materialize(_phrase_pairs(rel, query, title).where(F.col("w1") != F.col("w2")))  # no self pairs
     needed = (rows.select(F.least("w1", "w2").alias("word1"), F.greatest("w1", "w2").alias("word2"))
               .distinct())
-    # Only words of needed pairs with a df entry can give a finite distance.
-    # Every needed pair has a query word, so pairs inside a document are built
-    # as (query word a, other word b) only: |doc n Q| * |doc| instead of |doc|^2.
-    # Each unordered pair is emitted once: b outside Q, or a < b when both in Q.
     vocab = dfc.select("word")
     qv = rows.select(F.col("w1").alias("word")).distinct().withColumn("inq", F.lit(True))
     allv = rows.select(F.col("w1").alias("word")).union(rows.select(F.col("w2").alias("word"))).distinct()
-    tok = (explode_rows(_doc_words(corpus), F.col("words"), "word", "doc")
+    tok = (explode_rows(docs, F.col("words"), "word", "doc")
            .join(vocab, "word", "left_semi").join(allv, "word", "left_semi")
            .join(qv, "word", "left").select("doc", "word", F.coalesce("inq", F.lit(False)).alias("inq")))
     left = tok.where("inq").select("doc", F.col("word").alias("a"))
@@ -253,5 +252,8 @@ def term_indicators(df: DataFrame, col: str, vocabulary: list[str], prefix: str
         staged = df.select("id", text.alias("_text"))
         return (explode_rows(staged, F.filter(vocab, lambda w: F.contains(F.col("_text"), w)), "term", "id")
                 .select("id", F.concat(F.lit(prefix), F.col("term")).alias("term")))
-    return df.select("id", *[F.contains(text, F.lit(w)).cast("int").alias(prefix + w) for w in vocabulary])
+    # a missing text has no hits (0, not null)
+    staged = df.select("id", text.alias("_text"))
+    return staged.select("id", *[F.coalesce(F.contains(F.col("_text"), F.lit(w)).cast("int"), F.lit(0))
+                                 .alias(prefix + w) for w in vocabulary])
 

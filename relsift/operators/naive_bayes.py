@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 from .tfidf import staged_terms, term_counts
 
 # The three views and their dictionary bounds (share of
@@ -75,10 +76,11 @@ def train_statistics(bag: DataFrame, labels: DataFrame, k: int, views: Sequence[
     """
     spark = bag.sparkSession
     tfl = bag.join(labels, "id")
-    A = tfl.groupBy("view", "fold", "term", "label").agg(F.sum("tf").alias("a"))
-    D = tfl.groupBy("view", "fold", "term").agg(F.count(F.lit(1)).alias("d"))
-    At = A.groupBy("view", "term", "label").agg(F.sum("a").alias("at"))
-    Dt = D.groupBy("view", "term").agg(F.sum("d").alias("dt"))
+    # The count tables feed several joins below: materialize them once.
+    A = materialize(tfl.groupBy("view", "fold", "term", "label").agg(F.sum("tf").alias("a")))
+    D = materialize(tfl.groupBy("view", "fold", "term").agg(F.count(F.lit(1)).alias("d")))
+    At = materialize(A.groupBy("view", "term", "label").agg(F.sum("a").alias("at")))
+    Dt = materialize(D.groupBy("view", "term").agg(F.sum("d").alias("dt")))
     ncf = labels.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("ncf"))
     nct = labels.groupBy("label").agg(F.count(F.lit(1)).alias("nct"))
     # docs per class for each model: total minus the fold's own
@@ -171,7 +173,7 @@ def nb_three_view(docs: DataFrame, folds: DataFrame, k: int, label: str = "media
     the all-train model for unlabelled rows. ``docs``: (id, query, product_title);
     ``folds``: (id, label, fold) for labelled rows. Returns (id, label, p, prediction)."""
     labels = folds.select("id", F.col(label).cast("int").alias("label"), "fold")
-    bag = bag_of_terms(docs)
+    bag = materialize(bag_of_terms(docs))
     stats = train_statistics(bag, labels, k)
     model_of = (docs.select("id").join(labels.select("id", "fold"), "id", "left")
                 .select("id", F.coalesce("fold", F.lit(0)).alias("f")))

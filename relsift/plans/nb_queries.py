@@ -10,6 +10,7 @@ from ..operators import evaluate as EV
 from ..operators import naive_bayes as NB
 from ..sources.fixture import relevance_table
 from . import oracle as O
+from ..session import materialize
 from .registry import register
 from .text_queries import _bigrams_sql, _nb_tokens_sql
 
@@ -27,7 +28,7 @@ def _inputs(spark, sf_dir):
 
 def _model(spark, sf_dir):
     docs, labels = _inputs(spark, sf_dir)
-    bag = NB.bag_of_terms(docs)
+    bag = materialize(NB.bag_of_terms(docs))
     stats = NB.train_statistics(bag, labels, K)
     model_of = (docs.select("id").join(labels.select("id", "fold"), "id", "left")
                 .select("id", F.coalesce("fold", F.lit(0)).alias("f")))
