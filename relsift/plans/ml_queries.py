@@ -83,13 +83,13 @@ def _dist_unpivot_sql() -> str:
 
 
 CHI2_SQL = """
-SELECT feature, {chi} AS chi2, cast(row_number() OVER (ORDER BY chi DESC, feature) AS integer) AS rank FROM (
+SELECT feature, {chi} AS chi2, cast(row_number() OVER (ORDER BY round(chi, 9) DESC, feature) AS integer) AS rank FROM (
   SELECT t.feature, sum(CASE WHEN p.p * t.tot <> 0 THEN (coalesce(o.obs, 0) - p.p * t.tot) ^ 2 / (p.p * t.tot) END) AS chi
   FROM (SELECT feature, sum(value) AS tot FROM longd JOIN lab USING (id) GROUP BY feature) t
   CROSS JOIN (SELECT label, count(*) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY label) p
   LEFT JOIN (SELECT feature, label, sum(value) AS obs FROM longd JOIN lab USING (id) GROUP BY ALL) o
     ON o.feature = t.feature AND o.label = p.label
-  GROUP BY t.feature HAVING chi IS NOT NULL ORDER BY chi DESC, t.feature LIMIT 30)"""
+  GROUP BY t.feature HAVING chi IS NOT NULL ORDER BY round(chi, 9) DESC, t.feature LIMIT 30)"""
 
 
 @register("chi2_select", O.with_rel(CHI2_SQL.format(chi=O.r6("chi")), extra=_dist_unpivot_sql()
