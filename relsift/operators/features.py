@@ -91,19 +91,61 @@ def distance_features(rel: DataFrame, query: str = "query", title: str = "produc
                       true_word_ngrams: bool = False, outcome: str | None = "median_relevance") -> DataFrame:
     """``id`` + the 70 pair features in reference order (+ ``outcome``), one pass.
 
+    Three projections: (1) per item kind (characters, q-grams 3..7, stemmed
+    words) the distinct query and title items and the counts with duplicates;
+    (2) one intersection size per kind; (3) all set measures from the sizes
+    (union = |Q|+|T|-|Q&T|, title-only = |T|-|Q&T|, leftover = |Q|-|Q&T|).
+    Each array is built once and each kind needs one ``array_intersect``.
+
     Word blocks 1..5 are identical by default (the reference never builds word
     n-grams); ``true_word_ngrams=True`` uses word n-grams of size i in block i.
     """
     q, t = F.col(query), F.col(title)
-    arrays = {
-        "_qc": T.chars(q), "_tc": T.chars(t),
-        "_qw": T.tokenize_word(q), "_tw": T.tokenize_word(t),
-    }
+    qw, tw = T.tokenize_word(q), T.tokenize_word(t)
+    kinds = {"c": (T.chars(q), T.chars(t))}
     for n in CHAR_Q:
-        arrays[f"_q{n}"] = T.char_shingles(q, n)
-        arrays[f"_t{n}"] = T.char_shingles(t, n)
+        kinds[str(n)] = (T.char_shingles(q, n), T.char_shingles(t, n))
     keep = ["id", query, title] + ([outcome] if outcome else [])
-    a = rel.select(*keep, *[v.alias(k) for k, v in arrays.items()])
+    stage = {}
+    for k, (qa, ta) in kinds.items():
+        stage[f"_nq{k}"] = F.size(qa)
+        stage[f"_nt{k}"] = F.size(ta)
+        stage[f"_dq{k}"] = F.array_distinct(qa)
+        stage[f"_dt{k}"] = F.array_distinct(ta)
+    stage["_qw"], stage["_tw"] = qw, tw
+    a = rel.select(*keep, *[v.alias(name) for name, v in stage.items()])
+
+    word_kinds = []
+    extra = {}
+    for i in WORD_BLOCKS:
+        if true_word_ngrams:
+            qa, ta = T.word_ngrams("_qw", i, i), T.word_ngrams("_tw", i, i)
+            kk = f"w{i}"
+        else:
+            qa, ta = F.col("_qw"), F.col("_tw")
+            kk = "w"
+        if kk not in extra:
+            extra[f"_nq{kk}"], extra[f"_nt{kk}"] = F.size(qa), F.size(ta)
+            extra[f"_dq{kk}"], extra[f"_dt{kk}"] = F.array_distinct(qa), F.array_distinct(ta)
+        word_kinds.append(kk)
+    a = a.select("*", *[v.alias(name) for name, v in extra.items()])
+    all_kinds = list(kinds) + sorted(set(word_kinds))
+    b = a.select("*", *[F.size(F.array_intersect(f"_dq{k}", f"_dt{k}")).alias(f"_i{k}") for k in all_kinds])
+
+    def sizes(k):
+        return F.size(f"_dq{k}"), F.size(f"_dt{k}"), F.col(f"_i{k}")
+
+    def union(k):
+        nq, nt, i = sizes(k)
+        return nq + nt - i
+
+    def title_only(k):
+        nq, nt, i = sizes(k)
+        return P.safe_div(nt - i, nq + nt - i)
+
+    def ochiai(k):
+        nq, nt, i = sizes(k)
+        return P.safe_div(i, F.sqrt((nq * nt).cast("double")))
 
     pre = P.common_prefix(query, title)
     suf = P.common_suffix(query, title)
@@ -116,22 +158,17 @@ def distance_features(rel: DataFrame, query: str = "query", title: str = "produc
         F.when(lq == 0, zero).otherwise(pre / lq), F.when(lq == 0, zero).otherwise(suf / lq),
         F.when(lt == 0, zero).otherwise(pre / lt), F.when(lt == 0, zero).otherwise(suf / lt),
         dt, dq, F.abs(dt - dq), F.when(dt == dq, 1).otherwise(0),
-        P.title_only_share("_qc", "_tc"), P.ochiai("_qc", "_tc"),
+        title_only("c"), ochiai("c"),
     ]
     for n in CHAR_Q:
-        qa, ta = f"_q{n}", f"_t{n}"
-        cols += [F.size(qa), F.size(ta), P.union_count(qa, ta),
-                 P.title_only_share(qa, ta), P.ochiai(qa, ta)]
-    for i in WORD_BLOCKS:
-        if true_word_ngrams:
-            qa, ta = T.word_ngrams("_qw", i, i), T.word_ngrams("_tw", i, i)
-        else:
-            qa, ta = F.col("_qw"), F.col("_tw")
-        cols += [F.size(qa), F.size(ta), P.union_count(qa, ta), P.leftover(qa, ta),
-                 P.title_only_share(qa, ta), P.ochiai(qa, ta)]
+        k = str(n)
+        cols += [F.col(f"_nq{k}"), F.col(f"_nt{k}"), union(k), title_only(k), ochiai(k)]
+    for k in word_kinds:
+        nq, nt, i = sizes(k)
+        cols += [F.col(f"_nq{k}"), F.col(f"_nt{k}"), union(k), nq - i, title_only(k), ochiai(k)]
     out = [c.cast("double").alias(name) for c, name in zip(cols, DISTANCE_HEADER)]
-    extra = [F.col(outcome).cast("double").alias("outcome")] if outcome else []
-    return a.select("id", *out, *extra)
+    extra_out = [F.col(outcome).cast("double").alias("outcome")] if outcome else []
+    return b.select("id", *out, *extra_out)
 
 
 def _count_or_one(tokens, source: str):

@@ -120,8 +120,9 @@ def train_statistics(bag: DataFrame, labels: DataFrame, k: int, views: Sequence[
            .select("view", "f", "label", (F.coalesce("tot", F.lit(0)) + F.coalesce("dtot", F.lit(0))).alias("tot")))
     prior = (docs_fc.join(n_f, "f")
              .select("f", "label", F.when(F.col("n_c") > 0, F.log(F.col("n_c") / F.col("n_f"))).alias("log_prior")))
-    return {"A": A, "D": D, "At": At, "Dt": Dt, "bounds": bounds, "vsize": vsize, "tot": tot,
-            "prior": prior}
+    # small per-model tables, read by every scoring join
+    return {"A": A, "D": D, "At": At, "Dt": Dt, "bounds": materialize(bounds), "vsize": materialize(vsize),
+            "tot": materialize(tot), "prior": materialize(prior)}
 
 
 def predict_views(bag: DataFrame, model_of: DataFrame, stats: dict[str, DataFrame],

@@ -46,25 +46,36 @@ def lemma_tokens(c) -> Column:
 
 
 def term_counts(df: DataFrame, terms: Column, id_col: str = "id") -> DataFrame:
-    """``(id, term, tf)`` from an array of terms per row, counted inside the row
-    (sorted run-length encoding: no shuffle). Each intermediate array is its own
-    projection, so lambdas read a column instead of re-evaluating an expression."""
-    staged = df.select(F.col(id_col).alias("id"), F.array_sort(terms).alias("_s"))
-    s = F.col("_s")
-    n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), n),
-                      lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-    staged = staged.select("id", "_s", F.when(n > 0, starts).alias("_st"))
-    st = F.col("_st")
-    m = F.size(st)
-    runs = F.transform(
-        F.sequence(F.lit(1), m),
-        lambda k: F.struct(
-            F.element_at(s, F.element_at(st, k)).alias("term"),
-            (F.when(k < m, F.element_at(st, F.least(k + 1, m))).otherwise(n + 1)
-             - F.element_at(st, k)).alias("tf")))
-    return (explode_rows(staged, F.when(m > 0, runs), "_e", "id")
-            .select("id", F.col("_e.term").alias("term"), F.col("_e.tf").cast("long").alias("tf")))
+    """``(id, term, tf)`` from an array of terms per row: explode, then a hash
+    aggregate by (id, term). The rows of one document are produced in one task,
+    so the map-side combine folds them before the shuffle (only distinct
+    (id, term) pairs move)."""
+    staged = df.select(F.col(id_col).alias("id"), terms.alias("_terms"))
+    return count_terms(explode_rows(staged, F.col("_terms"), "term", "id"))
+
+
+def count_terms(rows: DataFrame) -> DataFrame:
+    """``(id, term, tf)`` from one row per term occurrence."""
+    return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def char_wb_rows(df: DataFrame, text: Column, n_min: int = 1, n_max: int = 6, id_col: str = "id") -> DataFrame:
+    """``(id, term)`` occurrences of character n-grams inside word bounds, built
+    with generators only (words -> n -> positions), which stay in generated code.
+
+    Per padded word of length L: every n-gram for n_min <= n < L (n <= n_max),
+    and the whole padded word once if L <= n_max."""
+    words = explode_rows(df.select(F.col(id_col).alias("id"), F.split(F.lower(text), T.WS_CLASS + "+", -1)
+                                   .alias("_ws")), F.col("_ws"), "_w", "id").where(F.col("_w") != "")
+    p = words.select("id", F.concat(F.lit(" "), "_w", F.lit(" ")).alias("_p")).withColumn("_L", F.length("_p"))
+    L = F.col("_L")
+    # n runs over n_min..min(n_max, L); a word shorter than n_min still gives itself once
+    ns = F.when(L < n_min, F.array(F.lit(n_min))).otherwise(F.sequence(F.lit(n_min), F.least(F.lit(n_max), L)))
+    pn = p.select("id", "_p", "_L", F.explode(ns).alias("_n"))
+    n = F.col("_n")
+    pos = F.when(n < L, F.sequence(F.lit(1), L - n + 1)).otherwise(F.array(F.lit(1)))
+    g = pn.select("id", "_p", "_L", "_n", F.explode(pos).alias("_i"))
+    return g.select("id", F.when(n < L, F.substr("_p", "_i", "_n")).otherwise(F.col("_p")).alias("term"))
 
 
 def staged_terms(df: DataFrame, tokens: Column, build, id_col: str = "id") -> DataFrame:
@@ -128,19 +139,21 @@ def tfidf(train: DataFrame, apply_to: DataFrame, terms_fn, min_df: int = 1,
     """Fit the vocabulary and idf on ``train`` and weight the terms of ``apply_to``.
 
     ``terms_fn`` maps a frame to its term-array column (e.g. char_wb n-grams)."""
-    tf_train = term_counts(*_terms_of(train, terms_fn))
+    tf_train = _tf_of(train, terms_fn)
     vocab = fit_vocabulary(tf_train, n_docs_of(train), min_df, max_df, idf)
-    tf_all = term_counts(*_terms_of(apply_to, terms_fn))
+    tf_all = _tf_of(apply_to, terms_fn)
     return tfidf_transform(tf_all, vocab, sublinear, norm)
 
 
-def _terms_of(df: DataFrame, terms_fn):
-    """``terms_fn(df)`` gives either a term-array column or a (tokens, build) pair."""
+def _tf_of(df: DataFrame, terms_fn) -> DataFrame:
+    """Term counts of ``df``. ``terms_fn(df)`` gives a term-array column, a
+    (tokens, build) pair, or a frame of ``(id, term)`` occurrences."""
     spec = terms_fn(df)
+    if isinstance(spec, DataFrame):
+        return count_terms(spec)
     if isinstance(spec, tuple):
-        staged = staged_terms(df, *spec)
-        return staged, F.col("_terms")
-    return df, spec
+        return term_counts(staged_terms(df, *spec), F.col("_terms"))
+    return term_counts(df, spec)
 
 
 def vocab_df_bounds(tf: DataFrame, n_docs: Column, min_df: int = 3, max_share: float = 0.2) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.arrays import explode_rows
 from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..operators import corpus as C
 from . import oracle as O
-from .registry import register, srel
+from .registry import register, srel, srel_shared
 
 MIN_COUNT = C.MIN_COUNT
 MIN_LEN = C.MIN_WORD_LEN
@@ -69,7 +69,7 @@ def _c(body: str, *extra: str) -> str:
 # --- Spark side ---------------------------------------------------------------
 
 def _corpus(spark, sf_dir):
-    s = srel(spark, sf_dir)
+    s = srel_shared(spark, sf_dir)
     return s, C.corpus_a(s)
 
 

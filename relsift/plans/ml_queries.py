@@ -262,7 +262,7 @@ def _svd_features(spark, sf_dir, k=180):
     """char_wb TF-IDF (fit on train) -> sparse vectors -> SVD fitted on train rows,
     applied to all rows."""
     s, train, test = _labelled(spark, sf_dir)
-    w = materialize(TF.tfidf(train, s, lambda d: T.char_wb_ngrams(T.combine_text("query", "product_title"), 1, 6),
+    w = materialize(TF.tfidf(train, s, lambda d: TF.char_wb_rows(d, T.combine_text("query", "product_title"), 1, 6),
                              min_df=3, idf="smooth"))
     idx = materialize(V.index_terms(w))
     size = idx.agg(F.count(F.lit(1))).first()[0]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators import features as FE
+from ..session import materialize
 from ..sources.fixture import relevance_table
 from . import oracle as O
 
@@ -44,3 +45,9 @@ def register(name: str, sql: str | None = None):
 
 def srel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.scrub_table(relevance_table(spark, sf_dir))
+
+
+def srel_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scrubbed fixture materialized once, for queries that read it in
+    several branches (a frame used twice is otherwise computed twice)."""
+    return materialize(srel(spark, sf_dir))

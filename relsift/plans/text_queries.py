@@ -11,7 +11,7 @@ from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..operators import tfidf as TF
 from ..sources.fixture import read_table
 from . import oracle as O
-from .registry import register, srel
+from .registry import register, srel, srel_shared
 
 WS = O.WS
 STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOPWORDS) + "]"
@@ -195,7 +195,7 @@ CHAR_WB_DOC = "query || ' ' || product_title"
 @register("char_wb_ngrams", O.with_rel(_char_wb_sql(CHAR_WB_DOC)))
 def q_char_wb(spark, sf_dir):
     s = srel(spark, sf_dir)
-    return TF.term_counts(s, T.char_wb_ngrams(T.combine_text("query", "product_title"), 1, 6))
+    return TF.count_terms(TF.char_wb_rows(s, T.combine_text("query", "product_title"), 1, 6))
 
 
 def sql_lemma(t: str) -> str:
@@ -262,9 +262,9 @@ def _charwb_train_sql() -> str:
 @register("tfidf_smooth", _with_tfidf(_tfidf_sql(
     _char_wb_sql(CHAR_WB_DOC), _charwb_train_sql(), "SELECT count(*) AS n FROM train", 3, SMOOTH)))
 def q_tfidf_smooth(spark, sf_dir):
-    s = srel(spark, sf_dir)
+    s = srel_shared(spark, sf_dir)
     train = s.where(F.col("median_relevance").isNotNull())
-    return TF.tfidf(train, s, lambda d: T.char_wb_ngrams(T.combine_text("query", "product_title"), 1, 6),
+    return TF.tfidf(train, s, lambda d: TF.char_wb_rows(d, T.combine_text("query", "product_title"), 1, 6),
                     min_df=3, idf="smooth")
 
 
@@ -287,7 +287,7 @@ def _word_tf_sql(src: str) -> str:
 @register("tfidf_word", _with_tfidf(_tfidf_sql(
     _word_tf_sql("srel"), _word_tf_sql("train"), "SELECT count(*) AS n FROM train", 2, SMOOTH)))
 def q_tfidf_word(spark, sf_dir):
-    s = srel(spark, sf_dir)
+    s = srel_shared(spark, sf_dir)
     train = s.where(F.col("median_relevance").isNotNull())
     return TF.tfidf(train, s, _word_tfidf_terms, min_df=2, idf="smooth")
 
@@ -307,7 +307,7 @@ def _sublinear_tf_sql(src: str) -> str:
     _sublinear_tf_sql("srel"), _sublinear_tf_sql("train"), "SELECT count(*) AS n FROM train", 1, SMOOTH,
     max_df="0.5 * (SELECT count(*) FROM train)", sublinear=True, l2=True)))
 def q_tfidf_sublinear(spark, sf_dir):
-    s = srel(spark, sf_dir)
+    s = srel_shared(spark, sf_dir)
     train = s.where(F.col("median_relevance").isNotNull())
     return TF.tfidf(train, s, _sublinear_terms, max_df=0.5, idf="smooth", sublinear=True, norm="l2")
 
@@ -349,7 +349,7 @@ def nb_counts(df):
     f"SELECT term, count(*) AS df FROM ({_nb_bag_sql('train')}) GROUP BY term "
     "HAVING count(*) >= 3 AND count(*) <= 0.2 * (SELECT count(*) FROM train)", extra=TRAIN_CTE))
 def q_vocab_bounds(spark, sf_dir):
-    s = srel(spark, sf_dir)
+    s = srel_shared(spark, sf_dir)
     train = s.where(F.col("median_relevance").isNotNull())
     return TF.vocab_df_bounds(nb_counts(train), TF.n_docs_of(train), 3, 0.2)
 
@@ -359,7 +359,7 @@ def q_vocab_bounds(spark, sf_dir):
     f"SELECT term FROM ({_nb_bag_sql('train')}) GROUP BY term "
     "HAVING count(*) >= 3 AND count(*) <= 0.2 * (SELECT count(*) FROM train))", extra=TRAIN_CTE))
 def q_term_frequency(spark, sf_dir):
-    s = srel(spark, sf_dir)
+    s = srel_shared(spark, sf_dir)
     train = s.where(F.col("median_relevance").isNotNull())
     vocab = TF.vocab_df_bounds(nb_counts(train), TF.n_docs_of(train), 3, 0.2)
     return TF.term_frequency(nb_counts(s), vocab)
