@@ -22,7 +22,7 @@ def _inputs(spark, sf_dir):
     rel = materialize(relevance_table(spark, sf_dir))
     folds = EV.stratified_folds(rel.select("id", "median_relevance"), k=K, seed=SEED)
     docs = rel.select("id", "query", "product_title")
-    labels = folds.select("id", F.col("median_relevance").cast("int").alias("label"), "fold")
+    labels = materialize(folds.select("id", F.col("median_relevance").cast("int").alias("label"), "fold"))
     return docs, labels
 
 
