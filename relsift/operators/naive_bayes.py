@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,9 +121,12 @@ def train_statistics(bag: DataFrame, labels: DataFrame, k: int, views: Sequence[
            .select("view", "f", "label", (F.coalesce("tot", F.lit(0)) + F.coalesce("dtot", F.lit(0))).alias("tot")))
     prior = (docs_fc.join(n_f, "f")
              .select("f", "label", F.when(F.col("n_c") > 0, F.log(F.col("n_c") / F.col("n_f"))).alias("log_prior")))
-    # small per-model tables, read by every scoring join
-    return {"A": A, "D": D, "At": At, "Dt": Dt, "bounds": materialize(bounds), "vsize": materialize(vsize),
-            "tot": materialize(tot), "prior": materialize(prior)}
+    # small per-model tables (views x models x classes rows), read by every
+    # scoring join: cached lazily; their inputs are checkpointed, so a lost
+    # block is recomputed from the checkpoints
+    keep = StorageLevel.MEMORY_AND_DISK
+    return {"A": A, "D": D, "At": At, "Dt": Dt, "bounds": bounds.persist(keep), "vsize": vsize.persist(keep),
+            "tot": tot.persist(keep), "prior": prior.persist(keep)}
 
 
 def predict_views(bag: DataFrame, model_of: DataFrame, stats: dict[str, DataFrame],
