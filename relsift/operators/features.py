@@ -68,7 +68,8 @@ def query_minmax_rating(rel: DataFrame, label: str = "median_relevance",
 
     As in the reference, a train row sees its own label (a leak). With
     ``leave_one_out`` the range of the *other* train rows of the query is used
-    instead (exact: from the count, min/max and second min/max per query).
+    instead, computed from per-(query, label) counts: at most one row per label
+    value, so no window over a hot query is needed.
     """
     if not leave_one_out:
         ranges = query_rating_range(rel, label)

@@ -14,7 +14,7 @@ from ..sources import files as IO
 from ..sources.fixture import read_table, relevance_table
 from ..streaming.features import start_pair_feature_sink
 from . import oracle as O
-from .corpus_queries import CORPUS_CTES, PAIRS_CTE, _c, dist_cte, phrase_sql
+from .corpus_queries import PAIRS_CTE, _c, dist_cte, phrase_sql
 from .registry import ORACLE, register, srel
 
 NORM = ("trim(regexp_replace(regexp_replace(lower(regexp_replace({x}, '" + O.WS + "', ' ', 'g')), "
@@ -135,5 +135,3 @@ def q_stream(spark, sf_dir):
     q.awaitTermination()
     return spark.read.parquet(sink)
 
-
-__all__ = ["CORPUS_CTES"]

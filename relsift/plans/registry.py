@@ -17,7 +17,6 @@ from pyspark.sql.types import DoubleType, FloatType
 from ..operators import features as FE
 from ..session import materialize
 from ..sources.fixture import relevance_table
-from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
