@@ -86,3 +86,16 @@ def q_distance(spark, sf_dir):
     "FROM srel)"))
 def q_coverage(spark, sf_dir):
     return FE.query_title_coverage(srel(spark, sf_dir))
+
+
+@register("query_minmax_rating_loo", O.with_rel(
+    "SELECT id, " + O.r6("maxr") + " AS maxr, " + O.r6("minr") + " AS minr FROM ("
+    "SELECT id, max(median_relevance) OVER w AS maxr, min(median_relevance) OVER w AS minr "
+    "FROM srel WHERE median_relevance IS NOT NULL "
+    "WINDOW w AS (PARTITION BY query ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) "
+    "UNION ALL SELECT s.id, r.maxr, r.minr FROM srel s LEFT JOIN (SELECT query, max(median_relevance) AS maxr, "
+    "min(median_relevance) AS minr FROM srel WHERE median_relevance IS NOT NULL GROUP BY query) r USING (query) "
+    "WHERE s.median_relevance IS NULL)"))
+def q_minmax_loo(spark, sf_dir):
+    """Opt-in leave-one-out rating range: a train row does not see its own label."""
+    return FE.query_minmax_rating(srel(spark, sf_dir), leave_one_out=True)
