@@ -80,8 +80,10 @@ def train_statistics(bag: DataFrame, labels: DataFrame, k: int, views: Sequence[
     # The count tables feed several joins below: materialize them once.
     A = materialize(tfl.groupBy("view", "fold", "term", "label").agg(F.sum("tf").alias("a")))
     D = materialize(tfl.groupBy("view", "fold", "term").agg(F.count(F.lit(1)).alias("d")))
-    At = materialize(A.groupBy("view", "term", "label").agg(F.sum("a").alias("at")))
-    Dt = materialize(D.groupBy("view", "term").agg(F.sum("d").alias("dt")))
+    # totals over folds: one aggregate each over a checkpointed table; cached
+    # (a lost block is recomputed from the checkpoint, not from the documents)
+    At = A.groupBy("view", "term", "label").agg(F.sum("a").alias("at")).persist(StorageLevel.MEMORY_AND_DISK)
+    Dt = D.groupBy("view", "term").agg(F.sum("d").alias("dt")).persist(StorageLevel.MEMORY_AND_DISK)
     ncf = labels.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("ncf"))
     nct = labels.groupBy("label").agg(F.count(F.lit(1)).alias("nct"))
     # docs per class for each model: total minus the fold's own

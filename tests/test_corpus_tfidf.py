@@ -63,3 +63,12 @@ def test_tfidf_l2_norm(spark):
     w = TF.tfidf(df, df, lambda d: T.tokenize_nonempty("s"), sublinear=True, norm="l2")
     norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("n")).collect()
     assert all(abs(r["n"] - 1) < 1e-12 for r in norms)
+
+
+def test_char_wb_rows_equal_array_form(spark):
+    docs = ["A dog  house ab", "x", "", "supercalifragilistic word"]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, s string")
+    rows = TF.count_terms(TF.char_wb_rows(df, F.col("s"), 2, 5))
+    arr = TF.term_counts(df, T.char_wb_ngrams("s", 2, 5))
+    key = lambda d: sorted(map(tuple, d.select("id", "term", "tf").collect()))
+    assert key(rows) == key(arr)
