@@ -99,3 +99,34 @@ def q_coverage(spark, sf_dir):
 def q_minmax_loo(spark, sf_dir):
     """Opt-in leave-one-out rating range: a train row does not see its own label."""
     return FE.query_minmax_rating(srel(spark, sf_dir), leave_one_out=True)
+
+
+# Single coverage operators of SURVEY 2.3 as column subsets of the coverage pass.
+COVERAGE_SQL = {
+    "qInT": "ht / qw", "qInD": "hd / qw", "qw": "qw", "ptw": "ptw", "pdw": "pdw",
+    "qInT_qWords": "ht / qw * qw", "qInT_ptWords": "ht / qw * ptw", "qInT_pdWords": "ht / qw * pdw",
+}
+COVERAGE_OPS = {
+    "query_coverage": ["qInT"],
+    "desc_coverage": ["qInD"],
+    "word_counts": ["qw", "ptw", "pdw"],
+    "interaction_features": ["qInT_qWords", "qInT_ptWords", "qInT_pdWords"],
+}
+COVERAGE_FROM = (
+    "FROM (SELECT id, query, product_title, len(string_split(query, ' ')) AS qw, "
+    "len(string_split(product_title, ' ')) AS ptw, "
+    "CASE WHEN product_description IS NULL THEN 1 ELSE len(string_split(product_description, ' ')) END AS pdw, "
+    "len(list_filter(string_split(query, ' '), lambda w: contains(lower(product_title), lower(w)))) AS ht, "
+    "len(list_filter(string_split(query, ' '), lambda w: coalesce(contains(lower(product_description), "
+    "lower(w)), false))) AS hd FROM srel)")
+
+
+def _coverage_query(cols):
+    def q(spark, sf_dir):
+        return FE.query_title_coverage(srel(spark, sf_dir)).select("id", *cols)
+    return q
+
+
+for _name, _cols in COVERAGE_OPS.items():
+    register(_name, O.with_rel("SELECT id, " + ", ".join(f"{O.r6(COVERAGE_SQL[c])} AS {c}" for c in _cols)
+                               + " " + COVERAGE_FROM))(_coverage_query(_cols))
