@@ -72,3 +72,13 @@ def test_char_wb_rows_equal_array_form(spark):
     arr = TF.term_counts(df, T.char_wb_ngrams("s", 2, 5))
     key = lambda d: sorted(map(tuple, d.select("id", "term", "tf").collect()))
     assert key(rows) == key(arr)
+
+
+def test_distances_non_negative_on_fixture(spark, sf_small):
+    from relsift.plans.registry import srel
+    corp = C.corpus_a(srel(spark, sf_small))
+    dfc = C.word_document_frequency(corp)
+    d = C.normalized_distance(C.word_cooccurrence(corp), dfc, C.corpus_size(corp))
+    assert d.where(F.col("distance") < 0).count() == 0
+    sym = C.word_cooccurrence(corp).where(F.col("word1") >= F.col("word2")).count()
+    assert sym == 0

@@ -21,3 +21,9 @@ def test_svd_singular_values(spark):
     assert np.allclose(s, exp, rtol=1e-6)
     norms = {r["id"]: np.linalg.norm(r["svd"]) for r in proj.collect()}
     assert len(norms) == 12
+
+
+def test_forest_beats_majority_class(spark, sf_small):
+    import __spark_entry__ as E
+    q = E.queries()["kappa_scorer"](spark, sf_small).first()["qwk"]
+    assert q > 0  # a constant (majority-class) prediction has kappa 0
