@@ -92,8 +92,14 @@ def q_cooc(spark, sf_dir):
     "SELECT word AS word1, '' AS word2, n AS co FROM dfc UNION ALL SELECT word1, word2, n AS co FROM pairs",
     PAIRS_CTE))
 def q_dictionary(spark, sf_dir):
+    """The dictionary written as ``word1,word2,co`` CSV and read back; the blank
+    ``word2`` of a count row is kept as an empty string, not null."""
+    from ..sources import files as IO
     corp = _corpus(spark, sf_dir)[1]
-    return C.dictionary(C.word_document_frequency(corp), C.word_cooccurrence(corp))
+    d = C.dictionary(C.word_document_frequency(corp), C.word_cooccurrence(corp))
+    path = IO.write_csv(d, IO.scratch_dir(spark, "dictionary"))
+    return (spark.read.option("header", True).schema("word1 string, word2 string, co long").csv(path)
+            .withColumn("word2", F.coalesce("word2", F.lit(""))))
 
 
 @register("cooccurrence_pruned", _c(
