@@ -61,10 +61,11 @@ def q_fold_split(spark, sf_dir):
 # Oracle QWK by the confusion-matrix definition (independent of the moment form).
 QWK_MATRIX = """
 SELECT {qwk} AS qwk, (SELECT count(*) FROM scored) AS n"""
-QWK_EXPR = ("1 - (SELECT sum((median_relevance - prediction) * (median_relevance - prediction)) FROM scored)"
-            " / (SELECT sum((ha.a - hb.b) * (ha.a - hb.b) * ha.c * hb.c) / (SELECT count(*) FROM scored)"
+_QWK_DEN = ("(SELECT sum((ha.a - hb.b) * (ha.a - hb.b) * ha.c * hb.c) / (SELECT count(*) FROM scored)"
             "    FROM (SELECT median_relevance AS a, count(*) AS c FROM scored GROUP BY 1) ha,"
             "         (SELECT prediction AS b, count(*) AS c FROM scored GROUP BY 1) hb)")
+QWK_EXPR = ("CASE WHEN " + _QWK_DEN + " = 0 THEN NULL ELSE 1 - (SELECT sum((median_relevance - prediction) * "
+            "(median_relevance - prediction)) FROM scored) / " + _QWK_DEN + " END")
 
 
 @register("qwk", _w(QWK_MATRIX.format(qwk=O.r6(QWK_EXPR))))
@@ -80,7 +81,7 @@ def q_qwk_fixed(spark, sf_dir):
 FOLD_QWK_SQL = """
 SELECT count(*) AS folds, {mn} AS min, {q1} AS q1, {md} AS median, {mean} AS mean, {q3} AS q3, {mx} AS max
 FROM (
-  SELECT o.fold, 1 - o.s / e.s AS qwk
+  SELECT o.fold, CASE WHEN e.s = 0 THEN NULL ELSE 1 - o.s / e.s END AS qwk
   FROM (SELECT fold, sum((median_relevance - prediction) * (median_relevance - prediction)) AS s
         FROM folds GROUP BY fold) o
   JOIN (SELECT ha.fold, sum((ha.a - hb.b) * (ha.a - hb.b) * ha.c * hb.c) / max(n.n) AS s

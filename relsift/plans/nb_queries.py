@@ -115,8 +115,10 @@ def q_nb_train(spark, sf_dir):
 @register("nb_fold_qwk", _nb(
     "SELECT count(*) AS folds, " + O.r6("min(q)") + " AS min, " + O.r6("avg(q)") + " AS mean, "
     + O.r6("max(q)") + " AS max FROM ("
-    "SELECT l.fold, 1 - avg((l.label - p.prediction) * (l.label - p.prediction)) / "
-    "(avg(l.label * l.label) + avg(p.prediction * p.prediction) - 2 * avg(l.label) * avg(p.prediction)) AS q "
+    "SELECT l.fold, CASE WHEN avg(l.label * l.label) + avg(p.prediction * p.prediction) "
+    "- 2 * avg(l.label) * avg(p.prediction) = 0 THEN NULL ELSE "
+    "1 - avg((l.label - p.prediction) * (l.label - p.prediction)) / "
+    "(avg(l.label * l.label) + avg(p.prediction * p.prediction) - 2 * avg(l.label) * avg(p.prediction)) END AS q "
     "FROM nbfolds l JOIN (SELECT DISTINCT id, first_value(label) OVER (PARTITION BY id ORDER BY p DESC, label) "
     "AS prediction FROM fin) p USING (id) GROUP BY l.fold)"))
 def q_nb_fold_qwk(spark, sf_dir):
