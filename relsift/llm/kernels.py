@@ -140,7 +140,8 @@ def shingle_hashes(word_hash: np.ndarray, n: int) -> np.ndarray:
     m = len(word_hash) - n + 1
     total = np.zeros(m, np.uint64)
     for i in range(n):
-        total += mix(word_hash[i: i + m] + np.uint64(i + 1) * _MULT) * (_MULT + np.uint64(2 * i))
+        odd = np.array([2 * i + 1], np.uint64) * _MULT
+        total += mix(word_hash[i: i + m] + odd) * odd
     return mix(total)
 
 
