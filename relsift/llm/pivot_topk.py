@@ -59,8 +59,11 @@ def pivot_table(vectors: DataFrame, scale: float = SCALE, pivots: int = PIVOTS)
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2).to_pylist()
-            d = [distances(np.array([v], np.float64), chosen[len(v)])[0] if len(v) in chosen and len(v) else np.zeros(0) for v in lists] if len(set(map(len, lists))) > 1 else \
-                list(distances(np.array(lists, np.float64).reshape(len(lists), -1), chosen.get(len(lists[0]), np.zeros((0, 0))))) if lists else []
+            d = [np.empty(0)] * len(lists)
+            for dim in set(map(len, lists)):
+                rows = [i for i, v in enumerate(lists) if len(v) == dim]
+                for i, row in zip(rows, distances(np.array([lists[i] for i in rows], np.float64), chosen.get(dim, ())), strict=True):
+                    d[i] = row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.list_(pa.float64()))], names=["id", "dim", "v", "d"])
 
     return ints.mapInArrow(measure, "id long, dim int, v array<long>, d array<double>")
@@ -68,10 +71,10 @@ def pivot_table(vectors: DataFrame, scale: float = SCALE, pivots: int = PIVOTS)
 
 def search_block(q_ids, q, q_dist, ids, x, x_dist, k: int):
     """Top-k of every query among the candidates: (query position, candidate position, score)."""
-    exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) < _EXACT
+    largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    exact = largest < _EXACT  # doubles hold every product and sum
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     q_len, x_len = (qf * qf).sum(1), (xf * xf).sum(1)
-    order_id = np.argsort(ids, kind="stable")
     out_q, out_x, out_s = [], [], []
     for lo in range(0, len(q_ids), 64):
         hi = min(lo + 64, len(q_ids))
@@ -84,24 +87,19 @@ def search_block(q_ids, q, q_dist, ids, x, x_dist, k: int):
         for i in range(lo, hi):
             row = bound[i - lo]
             order = np.argsort(-row, kind="stable")
-            best_x, best_s = np.empty(0, np.int64), np.empty(0, object if not exact else np.float64)
+            order = order[: int((row > -np.inf).sum())]
+            best_x, best_s = np.empty(0, np.int64), np.empty(0, np.float64 if exact else object)
             at, step = 0, 8 * k
-            while at < len(order):
-                ahead = row[order[at]]
-                if ahead == -np.inf or (len(best_s) == k and ahead < best_s[-1]):
-                    break
+            while at < len(order) and not (len(best_s) == k and row[order[at]] < best_s[-1]):
                 part = order[at: at + step]
-                part = part[row[part] > -np.inf]
                 score = xf[part] @ qf[i] if exact else (x[part].astype(object) * q[i].astype(object)).sum(1)
                 best_x, best_s = np.append(best_x, part), np.append(best_s, score)
-                keep = np.lexsort((ids[best_x], -best_s.astype(np.float64) if exact else np.array([-float(s) for s in best_s])))[:k] if exact else \
-                    np.array(sorted(range(len(best_x)), key=lambda j: (-best_s[j], ids[best_x[j]]))[:k], np.int64)
-                best_x, best_s = best_x[keep], best_s[keep]
+                keep = np.lexsort((ids[best_x], -best_s)) if exact else np.array(sorted(range(len(best_x)), key=lambda j: (-best_s[j], ids[best_x[j]])))
+                best_x, best_s = best_x[keep[:k]], best_s[keep[:k]]
                 at, step = at + step, step * 2
             out_q.append(np.full(len(best_x), i))
             out_x.append(best_x)
             out_s.append(best_s)
-    del order_id
     return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_s)
 
 
