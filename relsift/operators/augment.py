@@ -40,14 +40,18 @@ def page_queries(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", normalize_text(F.regexp_extract("html", TITLE_PATTERN, 1)).alias("query"))
 
 
-def pseudo_label_rows(pages: DataFrame, start_id: int = START_ID) -> DataFrame:
+def pseudo_label_rows(pages: DataFrame, start_id: int = START_ID, after: DataFrame | None = None) -> DataFrame:
     """Harvested titles as train rows: blank description, relevance 4, variance 0,
     ids ``start_id + rank - 1`` in (page_id, pos) order (a skew-safe global rank
-    instead of the crawler's racy counter)."""
+    instead of the crawler's racy counter). With ``after`` (rows with an ``id``) the ids
+    start behind the largest of these, so none repeats."""
     res = harvest_results(pages).join(page_queries(pages), "page_id")
     ranked = rank_within(res, [], ["page_id", "pos"], out="_rn")
+    first = F.lit(start_id)
+    if after is not None:
+        first = after.agg(F.coalesce(F.max("id") + 1, F.lit(start_id))).scalar()
     return ranked.select(
-        (F.lit(start_id) + F.col("_rn") - 1).cast("long").alias("id"),
+        (first + F.col("_rn") - 1).cast("long").alias("id"),
         "query", "product_title",
         F.lit("").alias("product_description"),
         F.lit(PSEUDO_RELEVANCE).cast("int").alias("median_relevance"),
@@ -56,6 +60,6 @@ def pseudo_label_rows(pages: DataFrame, start_id: int = START_ID) -> DataFrame:
 
 
 def augment_train(train: DataFrame, pages: DataFrame) -> DataFrame:
-    """Train rows plus pseudo-labelled rows."""
-    return train.unionByName(pseudo_label_rows(pages))
+    """Train rows plus pseudo-labelled rows, whose ids follow the largest train id."""
+    return train.unionByName(pseudo_label_rows(pages, after=train))
 

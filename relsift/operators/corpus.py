@@ -6,11 +6,11 @@ distinct text); corpora B/C are the aligned queries/titles of ``rel`` (keyed by
 a frequent word (one key holding a large share of the rows) is combined in
 every task before the shuffle.
 
-Word pairs exist only inside one document and a document of corpus A is one
-title or one description (bounded by the fixture), so pairs per document are
-bounded. The pruned dictionary drops rare words *before* pairs are built
-(exact: a pair count never exceeds either word's document frequency), and the
-phrase distance counts only the pairs some (query, title) row needs.
+Word pairs exist only inside one document. A document's words are cut into blocks of
+about ``PAIR_BLOCK`` and paired block by block, so that the pairs of a long text, which
+grow with the square of its words, spread over many tasks. The dictionary drops rare
+words *before* pairs are built (exact: a pair count never exceeds either word's document
+frequency), and the distances of given pairs count those pairs only.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from ..functions.arrays import explode_rows
 from ..functions.text import WS_CLASS, remove_punct_keep_dash, remove_stopwords, tokenize_nonempty
 from ..session import materialize
-from .skew import topk_per_group
+from .skew import rank_within, topk_per_group
 
 # Pruning thresholds of the reference dictionary.
 MIN_COUNT = 20
 MIN_WORD_LEN = 2
+# Words of one document that are paired in one group, about.
+PAIR_BLOCK = 256
 
 
 def corpus_a(rel: DataFrame, title: str = "product_title",
@@ -56,19 +58,21 @@ def word_document_frequency(corpus: DataFrame) -> DataFrame:
 def word_cooccurrence(corpus: DataFrame, keep_words: DataFrame | None = None) -> DataFrame:
     """``(word1, word2, n)`` with ``word1 < word2``: documents containing both.
 
-    Built as a self-join of ``(doc, word)`` on ``doc`` (one document is one key,
-    bounded in size), which stays in generated code and is many times faster
-    than building pair arrays with higher-order functions; the counts are a
-    hash aggregate with map-side combine. ``keep_words`` (a ``word`` column)
-    restricts the words before pairs are built.
+    ``keep_words`` (a ``word`` column) restricts the words before pairs are built.
+    Every word goes to a block of its document by hash; the words of blocks i and j meet
+    under the key (document, i, j), which holds about ``PAIR_BLOCK`` squared pairs at
+    most. The counts are a hash aggregate with map-side combine.
     """
-    tok = explode_rows(_doc_words(corpus), F.col("words"), "word", "doc")
+    words = _doc_words(corpus).withColumn("blocks", F.ceil(F.size("words") / PAIR_BLOCK).cast("int"))
+    tok = explode_rows(words, F.col("words"), "word", "doc", "blocks")
     if keep_words is not None:
         tok = tok.join(keep_words.select("word").distinct(), "word", "left_semi")
-    a = tok.select("doc", F.col("word").alias("word1"))
-    b = tok.select("doc", F.col("word").alias("word2"))
-    return (a.join(b, "doc").where(F.col("word1") < F.col("word2"))
-            .groupBy("word1", "word2").agg(F.count(F.lit(1)).alias("n")))
+    tok = tok.withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
+    a = tok.select("doc", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("word").alias("a"))
+    b = tok.select("doc", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("word").alias("b"))
+    pairs = a.join(b, ["doc", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    return (pairs.groupBy(F.least("a", "b").alias("word1"), F.greatest("a", "b").alias("word2"))
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 def dictionary(df_counts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -116,50 +120,66 @@ def _phrase_pairs(rel: DataFrame, query: str, title: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("mult")))
 
 
-def phrase_distance(rel: DataFrame, corpus: DataFrame, query: str = "query", title: str = "product_title",
-                    pruned: bool = False, min_count: int = MIN_COUNT, min_len: int = MIN_WORD_LEN,
-                    df_counts: DataFrame | None = None) -> DataFrame:
-    """``(id, distance)``: mean finite normalized distance over all (query word,
-    title word) pairs with duplicates; ``+inf`` when none is finite; 0 when the
-    finite ones sum to 0. Pair counts are computed only for pairs some row needs.
+def query_title_pairs(rel: DataFrame, query: str = "query", title: str = "product_title") -> DataFrame:
+    """``(w1, w2)``: the distinct pairs of a query word and another word of its title."""
+    return _phrase_pairs(rel, query, title).where(F.col("w1") != F.col("w2")).select("w1", "w2").distinct()
 
-    ``pruned`` uses the pruned dictionary (df and pair counts >= ``min_count``,
-    words of length >= ``min_len``) and skips equal words, as the R variant.
-    """
-    # Document words and row pairs feed several branches: materialize each once.
+
+def pair_distance(given: DataFrame, corpus: DataFrame, pruned: bool = False, min_count: int = MIN_COUNT,
+                  min_len: int = MIN_WORD_LEN, df_counts: DataFrame | None = None) -> DataFrame:
+    """``(word1, word2, distance)`` for the distinct unordered pairs of ``given`` (``w1``,
+    ``w2``): the normalized distance, ``+inf`` for a pair that never occurs together (or
+    a word that occurs nowhere), null for 0/0.
+
+    Only given pairs are counted: a document's words are joined with the partners that
+    ``given`` names for them, so the rows are those of (document, given pair) whose one
+    word occurs, not of all pairs of the document. ``pruned`` uses the pruned dictionary
+    (df and pair counts >= ``min_count``, words of length >= ``min_len``)."""
     docs = materialize(_doc_words(corpus))
     dfc = df_counts if df_counts is not None else (
         explode_rows(docs, F.col("words"), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     if pruned:
         dfc = pruned_vocabulary(dfc, min_count, min_len)
+    dfc = materialize(dfc)
     n_docs = docs.agg(F.count(F.lit(1)).alias("N"))
-    rows = materialize(_phrase_pairs(rel, query, title).where(F.col("w1") != F.col("w2")))  # no self pairs
-    needed = (rows.select(F.least("w1", "w2").alias("word1"), F.greatest("w1", "w2").alias("word2"))
-              .distinct())
-    vocab = dfc.select("word")
-    qv = rows.select(F.col("w1").alias("word")).distinct().withColumn("inq", F.lit(True))
-    allv = rows.select(F.col("w1").alias("word")).union(rows.select(F.col("w2").alias("word"))).distinct()
-    tok = (explode_rows(docs, F.col("words"), "word", "doc")
-           .join(vocab, "word", "left_semi").join(allv, "word", "left_semi")
-           .join(qv, "word", "left").select("doc", "word", F.coalesce("inq", F.lit(False)).alias("inq")))
-    left = tok.where("inq").select("doc", F.col("word").alias("a"))
-    right = tok.select("doc", F.col("word").alias("b"), F.col("inq").alias("b_inq"))
-    co = (left.join(right, "doc")
-          .where((F.col("a") != F.col("b")) & (~F.col("b_inq") | (F.col("a") < F.col("b"))))
-          .select(F.least("a", "b").alias("word1"), F.greatest("a", "b").alias("word2"))
-          .join(needed, ["word1", "word2"], "left_semi")
-          .groupBy("word1", "word2").agg(F.count(F.lit(1)).alias("n")))
+    wanted = materialize(given.select(F.least("w1", "w2").alias("word1"), F.greatest("w1", "w2").alias("word2")).distinct())
+    # the rarer word of each pair looks for the other in its documents
+    d1 = dfc.select(F.col("word").alias("word1"), F.col("n").alias("n1"))
+    d2 = dfc.select(F.col("word").alias("word2"), F.col("n").alias("n2"))
+    known = wanted.join(d1, "word1").join(d2, "word2")
+    first = F.col("n1") <= F.col("n2")
+    lookups = known.select(F.when(first, F.col("word1")).otherwise(F.col("word2")).alias("word"),
+                           F.when(first, F.col("word2")).otherwise(F.col("word1")).alias("partner"))
+    tok = explode_rows(docs, F.col("words"), "word", "doc")
+    asked = tok.join(lookups, "word").select("doc", "word", "partner")
+    there = tok.select("doc", F.col("word").alias("partner"))
+    co = (asked.join(there.join(lookups.select("partner").distinct(), "partner", "left_semi"), ["doc", "partner"])
+          .groupBy(F.least("word", "partner").alias("word1"), F.greatest("word", "partner").alias("word2"))
+          .agg(F.count(F.lit(1)).alias("n")))
     if pruned:
         co = co.where(F.col("n") >= min_count)
-    dist = normalized_distance(co, dfc, n_docs)
+    dist = normalized_distance(co, dfc, n_docs).withColumn("_there", F.lit(True))
+    return wanted.join(dist, ["word1", "word2"], "left").select(
+        "word1", "word2", F.when(F.col("_there"), F.col("distance")).otherwise(F.lit(float("inf"))).alias("distance"))
+
+
+def phrase_distance(rel: DataFrame, corpus: DataFrame, query: str = "query", title: str = "product_title",
+                    pruned: bool = False, min_count: int = MIN_COUNT, min_len: int = MIN_WORD_LEN,
+                    df_counts: DataFrame | None = None) -> DataFrame:
+    """``(id, distance)``: mean finite normalized distance over all (query word,
+    title word) pairs with duplicates; ``+inf`` when none is finite; 0 when the
+    finite ones sum to 0. Equal (query, title) texts are scored once.
+
+    ``pruned`` uses the pruned dictionary and skips equal words, as the R variant.
+    """
+    texts = rel.select(F.xxhash64(query, title).alias("id"), query, title).dropDuplicates(["id"])
+    rows = materialize(_phrase_pairs(texts, query, title).where(F.col("w1") != F.col("w2")))  # no self pairs
+    dist = pair_distance(rows, corpus, pruned, min_count, min_len, df_counts)
     scored = (rows.select("id", "mult", F.least("w1", "w2").alias("word1"), F.greatest("w1", "w2").alias("word2"))
-              .join(dist, ["word1", "word2"], "left"))
-    agg = scored.groupBy("id").agg(
-        F.sum(F.when(F.col("distance").isNotNull(), F.col("mult"))).alias("_num"),
-        F.sum(F.col("distance") * F.col("mult")).alias("_sum"))
-    out = rel.select("id").join(agg, "id", "left")
-    inf = F.lit(float("inf"))
-    return out.select("id", F.when(F.coalesce("_num", F.lit(0)) == 0, inf)
+              .join(dist.where(F.col("distance").isNotNull() & (F.col("distance") != F.lit(float("inf")))), ["word1", "word2"]))
+    agg = scored.groupBy(F.col("id").alias("_text")).agg(F.sum("mult").alias("_num"), F.sum(F.col("distance") * F.col("mult")).alias("_sum"))
+    out = rel.select("id", F.xxhash64(query, title).alias("_key")).join(agg, F.col("_key") == F.col("_text"), "left")
+    return out.select("id", F.when(F.coalesce("_num", F.lit(0)) == 0, F.lit(float("inf")))
                       .when(F.col("_sum") == 0, F.lit(0.0))
                       .otherwise(F.col("_sum") / F.col("_num")).alias("distance"))
 
@@ -186,24 +206,35 @@ def closest_words(probes: DataFrame, pairs: DataFrame, df_counts: DataFrame, n_d
     dist = normalized_distance(
         top.select(F.least("word", "partner").alias("word1"), F.greatest("word", "partner").alias("word2"), "n")
         .distinct(), df_counts, n_docs)
+    # at most ``limit`` rows per word
+    by_distance = Window.partitionBy("word").orderBy(F.asc_nulls_last("distance"), "co_rank")
     return (top.select("word", "partner", "n", "co_rank",
                        F.least("word", "partner").alias("word1"), F.greatest("word", "partner").alias("word2"))
-            .join(dist, ["word1", "word2"], "left").drop("word1", "word2"))
+            .join(dist, ["word1", "word2"], "left").drop("word1", "word2")
+            .withColumn("dist_rank", F.row_number().over(by_distance)))
 
 
 def distance_by_class(dist: DataFrame, rel: DataFrame, label: str = "median_relevance") -> DataFrame:
-    """Five-number summary and count of the finite distances per class."""
-    d = dist.join(rel.select("id", label), "id").where(F.col(label).isNotNull())
+    """Five-number summary and count of the finite distances per class.
+
+    The quartiles interpolate between the two ranks around them. Ranks come from a
+    range-partitioned sort by (class, distance), so a class is never in one task."""
+    d = dist.join(rel.select("id", label), "id").where(F.col(label).isNotNull()).select(F.col(label).alias("class"), "id", "distance")
     finite = F.when(F.col("distance") != F.lit(float("inf")), F.col("distance"))
-    return d.groupBy(F.col(label).alias("class")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(finite).alias("n_finite"),
-        F.min(finite).alias("min"),
-        F.percentile(finite, 0.25).alias("q1"),
-        F.percentile(finite, 0.5).alias("median"),
-        F.percentile(finite, 0.75).alias("q3"),
-        F.max(finite).alias("max"),
-    )
+    counts = d.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count(finite).alias("n_finite"),
+                                    F.min(finite).alias("min"), F.max(finite).alias("max"))
+    ranked = rank_within(d.where(finite.isNotNull()), ["class"], ["distance", "id"], out="rn")
+    sides = ranked.join(counts.select("class", "n_finite"), "class")
+
+    def quartile(q: float) -> Column:
+        at = F.lit(q) * (F.col("n_finite") - 1)
+        share = at - F.floor(at)
+        here = (F.when(F.col("rn") - 1 == F.floor(at), F.col("distance") * (1 - share))
+                .when(F.col("rn") - 1 == F.floor(at) + 1, F.col("distance") * share))
+        return F.sum(here)
+
+    q = sides.groupBy("class").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"))
+    return counts.join(q, "class", "left").select("class", "n", "n_finite", "min", "q1", "median", "q3", "max")
 
 
 def term_text(c, stopwords: list[str] | None = None) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import pairs as P
 from ..functions import text as T
-from .skew import join_checked
 
 # Output column names and order of the 70 distance features.
 DISTANCE_HEADER = (
@@ -73,14 +72,14 @@ def query_minmax_rating(rel: DataFrame, label: str = "median_relevance",
     """
     if not leave_one_out:
         ranges = query_rating_range(rel, label)
-        return join_checked(rel.select("id", "query"), ranges, "query", "left").select("id", "maxr", "minr")
+        return rel.select("id", "query").join(ranges, "query", "left").select("id", "maxr", "minr")
     # Per (query, label) counts: at most 4 rows per query, so the range without
     # one row comes from these counts without any window over a hot query.
     counts = (rel.where(F.col(label).isNotNull()).groupBy("query", label)
               .agg(F.count(F.lit(1)).alias("_n")))
     per_q = counts.groupBy("query").agg(
         F.collect_list(F.struct(F.col(label).alias("v"), F.col("_n").alias("n"))).alias("_vals"))
-    rows = join_checked(rel.select("id", "query", label), per_q, "query", "left")
+    rows = rel.select("id", "query", label).join(per_q, "query", "left")
     others = F.filter("_vals", lambda s: (s["v"] != F.col(label)) | (s["n"] > 1)
                       | F.col(label).isNull())
     vals = F.transform(others, lambda s: s["v"])

@@ -1,7 +1,5 @@
 """Skew-safe building blocks used by the other operators.
 
-* ``join_checked``: broadcast a side only after counting it; beyond the bound a
-  shuffle join is used (AQE splits skewed partitions there).
 * ``rank_within``: ``row_number() over (partition by g order by o)`` without
   putting a whole group in one task: a range-partitioned sort spreads a hot
   group over many tasks, then per-partition offsets are added.
@@ -13,30 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# Largest side we broadcast without a shuffle (rows); above it: shuffle join.
-BROADCAST_MAX_ROWS = 500_000
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with ``small``; broadcast ``small`` only if it has <= max_rows rows.
-
-    ``small`` is cached for the count so the join does not compute it again;
-    past the bound the cache is dropped and a shuffle join is planned (AQE
-    splits skewed partitions of ``big`` there)."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    small.unpersist()
-    return big.join(small, on, how)
-
-
 def _cols(cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 

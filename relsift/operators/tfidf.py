@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import explode_rows
-from .skew import join_checked
 
 # WordNet noun detachment rules (suffix -> replacement), used by
 # the default lemma rule [pin]; the longest matching suffix wins.
@@ -115,7 +114,7 @@ def fit_vocabulary(tf_train: DataFrame, n_docs: Column, min_df: int = 1,
 def tfidf_transform(tf: DataFrame, vocab: DataFrame, sublinear: bool = False,
                     norm: str | None = None) -> DataFrame:
     """``(id, term, weight)`` for terms of the vocabulary (others are dropped)."""
-    j = join_checked(tf, vocab.select("term", "idf"), "term", "inner")
+    j = tf.join(vocab.select("term", "idf"), "term", "inner")
     t = (F.log(F.col("tf").cast("double")) + 1) if sublinear else F.col("tf").cast("double")
     w = j.select("id", "term", (t * F.col("idf")).alias("weight"))
     if norm == "l2":

@@ -8,6 +8,7 @@ from ..functions.arrays import explode_rows
 from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..operators import corpus as C
 from . import oracle as O
+from ..session import materialize
 from .registry import register, srel, srel_shared
 
 MIN_COUNT = C.MIN_COUNT
@@ -20,21 +21,33 @@ CORPUS_CTES = """
 corp AS (SELECT DISTINCT text FROM (SELECT product_title AS text FROM srel
                                     UNION ALL SELECT product_description FROM srel) WHERE text IS NOT NULL),
 ndocs AS (SELECT count(*) AS n FROM corp),
-dw AS (SELECT text, list_distinct(list_filter(string_split(text, ' '), lambda x: x <> '')) AS words FROM corp),
-dfc AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM dw) GROUP BY word)"""
+dw AS (SELECT md5(text) AS d, list_distinct(list_filter(string_split(text, ' '), lambda x: x <> '')) AS words FROM corp),
+tokw AS (SELECT d, unnest(words) AS word FROM dw),
+dfc AS (SELECT word, count(*) AS n FROM tokw GROUP BY word)"""
 
-PAIRS_CTE = """
+PRUNED_VOCAB = f"""
+pdfc AS (SELECT word, n FROM dfc WHERE n >= {MIN_COUNT} AND length(word) >= {MIN_LEN})"""
+
+# pairs of the pruned vocabulary
+PAIRS_CTE = PRUNED_VOCAB + """,
+ptok AS (SELECT tokw.* FROM tokw JOIN pdfc USING (word)),
 pairs AS (
-  SELECT w1 AS word1, w2 AS word2, count(*) AS n FROM (
-    SELECT a.word AS w1, b.word AS w2
-    FROM (SELECT text, unnest(words) AS word FROM dw) a
-    JOIN (SELECT text, unnest(words) AS word FROM dw) b USING (text)
-    WHERE a.word < b.word) GROUP BY 1, 2)"""
+  SELECT a.word AS word1, b.word AS word2, count(*) AS n FROM ptok a JOIN ptok b ON a.d = b.d AND a.word < b.word GROUP BY 1, 2)"""
 
 PRUNED_CTES = f"""
-pdfc AS (SELECT word, n FROM dfc WHERE n >= {MIN_COUNT} AND length(word) >= {MIN_LEN}),
-ppairs AS (SELECT p.* FROM pairs p WHERE p.n >= {MIN_COUNT}
-           AND length(p.word1) >= {MIN_LEN} AND length(p.word2) >= {MIN_LEN})"""
+ppairs AS (SELECT p.* FROM pairs p WHERE p.n >= {MIN_COUNT})"""
+
+# pairs that some (query, title) row needs
+NEEDED_CTE = """
+need AS (SELECT DISTINCT least(a, b) AS word1, greatest(a, b) AS word2 FROM (
+    SELECT unnest(q) AS a, t FROM (SELECT list_filter(string_split(query, ' '), lambda x: x <> '') AS q,
+      list_filter(string_split(product_title, ' '), lambda x: x <> '') AS t FROM srel)), LATERAL (SELECT unnest(t) AS b)
+  WHERE a <> b),
+npairs AS (SELECT n.word1, n.word2, count(*) AS n FROM need n JOIN tokw a ON a.word = n.word1
+  JOIN tokw b ON b.word = n.word2 AND b.d = a.d GROUP BY 1, 2)"""
+
+NEEDED_PRUNED = PRUNED_VOCAB + f""",
+nppairs AS (SELECT * FROM npairs WHERE n >= {MIN_COUNT})"""
 
 
 def dist_cte(name: str, pairs: str, dfc: str) -> str:
@@ -83,20 +96,27 @@ def q_df(spark, sf_dir):
     return C.word_document_frequency(_corpus(spark, sf_dir)[1])
 
 
+def _pruned_pairs(corp):
+    """The pruned vocabulary and the counts of all its pairs."""
+    vocab = materialize(C.pruned_vocabulary(C.word_document_frequency(corp)))
+    return vocab, C.word_cooccurrence(corp, keep_words=vocab)
+
+
 @register("word_cooccurrence", _c("SELECT word1, word2, n FROM pairs", PAIRS_CTE))
 def q_cooc(spark, sf_dir):
-    return C.word_cooccurrence(_corpus(spark, sf_dir)[1])
+    """Pairs of the pruned vocabulary; the unpruned table is quadratic in the texts."""
+    return _pruned_pairs(_corpus(spark, sf_dir)[1])[1]
 
 
 @register("sink_dictionary", _c(
-    "SELECT word AS word1, '' AS word2, n AS co FROM dfc UNION ALL SELECT word1, word2, n AS co FROM pairs",
-    PAIRS_CTE))
+    "SELECT word AS word1, '' AS word2, n AS co FROM pdfc UNION ALL SELECT word1, word2, n AS co FROM ppairs",
+    PAIRS_CTE, PRUNED_CTES))
 def q_dictionary(spark, sf_dir):
-    """The dictionary written as ``word1,word2,co`` CSV and read back; the blank
+    """The pruned dictionary written as ``word1,word2,co`` CSV and read back; the blank
     ``word2`` of a count row is kept as an empty string, not null."""
     from ..sources import files as IO
     corp = _corpus(spark, sf_dir)[1]
-    d = C.dictionary(C.word_document_frequency(corp), C.word_cooccurrence(corp))
+    d = C.dictionary(*C.cooccurrence_pruned(corp))
     path = IO.write_csv(d, IO.scratch_dir(spark, "dictionary"))
     return (spark.read.option("header", True).schema("word1 string, word2 string, co long").csv(path)
             .withColumn("word2", F.coalesce("word2", F.lit(""))))
@@ -113,28 +133,39 @@ def q_pruned(spark, sf_dir):
 
 @register("normalized_distance", _c(
     "SELECT word1, word2, " + O.r6("distance") + " AS distance FROM dist",
-    PAIRS_CTE, dist_cte("dist", "pairs", "dfc")))
+    PAIRS_CTE, dist_cte("dist", "pairs", "pdfc")))
 def q_norm_dist(spark, sf_dir):
     corp = _corpus(spark, sf_dir)[1]
-    dfc = C.word_document_frequency(corp)
-    return C.normalized_distance(C.word_cooccurrence(corp), dfc, C.corpus_size(corp))
+    vocab, pairs = _pruned_pairs(corp)
+    return C.normalized_distance(pairs, vocab, C.corpus_size(corp))
+
+
+@register("pair_distance", _c(
+    "SELECT n.word1, n.word2, CASE WHEN p.n IS NULL THEN 'inf'::double ELSE " + O.r6("d.distance") + " END AS distance "
+    "FROM need n LEFT JOIN npairs p USING (word1, word2) LEFT JOIN dist d USING (word1, word2)",
+    NEEDED_CTE, dist_cte("dist", "npairs", "dfc")))
+def q_pair_distance(spark, sf_dir):
+    """Distance of given pairs (those of the query and title words), +inf when absent."""
+    s, corp = _corpus(spark, sf_dir)
+    return C.pair_distance(C.query_title_pairs(s), corp)
 
 
-@register("phrase_distance", _c(phrase_sql("dist"), PAIRS_CTE, dist_cte("dist", "pairs", "dfc")))
+@register("phrase_distance", _c(phrase_sql("dist"), NEEDED_CTE, dist_cte("dist", "npairs", "dfc")))
 def q_phrase(spark, sf_dir):
     s, corp = _corpus(spark, sf_dir)
     return C.phrase_distance(s, corp)
 
 
-@register("phrase_distance_pruned", _c(phrase_sql("pdist"), PAIRS_CTE, PRUNED_CTES,
-                                        dist_cte("pdist", "ppairs", "pdfc")))
+@register("phrase_distance_pruned", _c(phrase_sql("pdist"), NEEDED_CTE, NEEDED_PRUNED,
+                                        dist_cte("pdist", "nppairs", "pdfc")))
 def q_phrase_pruned(spark, sf_dir):
     s, corp = _corpus(spark, sf_dir)
     return C.phrase_distance(s, corp, pruned=True)
 
 
 CLOSEST_SQL = f"""
-SELECT c.word, c.partner, c.n, c.co_rank, {O.r6("d.distance")} AS distance
+SELECT c.word, c.partner, c.n, c.co_rank, {O.r6("d.distance")} AS distance,
+  cast(row_number() OVER (PARTITION BY c.word ORDER BY d.distance NULLS LAST, c.co_rank) AS integer) AS dist_rank
 FROM (
   SELECT word, partner, n, cast(row_number() OVER (PARTITION BY word ORDER BY n DESC, partner) AS integer) AS co_rank
   FROM (SELECT word1 AS word, word2 AS partner, n FROM ppairs
@@ -165,7 +196,7 @@ JOIN srel r ON r.id = p.id WHERE r.median_relevance IS NOT NULL GROUP BY 1"""
     DIST_BY_CLASS_SQL.format(mn=O.r6("min(f)"), q1=O.r6("quantile_cont(f, 0.25)"),
                              md=O.r6("quantile_cont(f, 0.5)"), q3=O.r6("quantile_cont(f, 0.75)"),
                              mx=O.r6("max(f)")),
-    PAIRS_CTE, dist_cte("dist", "pairs", "dfc"), "phr AS (" + phrase_sql("dist", rounded=False) + ")"))
+    NEEDED_CTE, dist_cte("dist", "npairs", "dfc"), "phr AS (" + phrase_sql("dist", rounded=False) + ")"))
 def q_dist_by_class(spark, sf_dir):
     s, corp = _corpus(spark, sf_dir)
     return C.distance_by_class(C.phrase_distance(s, corp), s)

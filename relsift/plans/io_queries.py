@@ -14,7 +14,7 @@ from ..sources import files as IO
 from ..sources.fixture import read_table, relevance_table
 from ..streaming.features import start_pair_feature_sink
 from . import oracle as O
-from .corpus_queries import PAIRS_CTE, _c, dist_cte, phrase_sql
+from .corpus_queries import NEEDED_CTE, _c, dist_cte, phrase_sql
 from .registry import ORACLE, register, srel
 
 NORM = ("trim(regexp_replace(regexp_replace(lower(regexp_replace({x}, '" + O.WS + "', ' ', 'g')), "
@@ -48,7 +48,9 @@ def q_pseudo(spark, sf_dir):
 
 @register("augment_train", O.with_rel(
     "SELECT id, query, product_title, product_description, median_relevance, relevance_variance "
-    "FROM srel WHERE median_relevance IS NOT NULL UNION ALL " + PSEUDO_SQL))
+    "FROM srel WHERE median_relevance IS NOT NULL UNION ALL SELECT id - " + str(AU.START_ID)
+    + " + 1 + (SELECT max(id) FROM srel WHERE median_relevance IS NOT NULL) AS id, query, product_title, "
+    "product_description, median_relevance, relevance_variance FROM (" + PSEUDO_SQL + ")"))
 def q_augment(spark, sf_dir):
     train = srel(spark, sf_dir).where(F.col("median_relevance").isNotNull())
     return AU.augment_train(train, read_table(spark, sf_dir, "pages"))
@@ -71,7 +73,7 @@ def q_src_corpus(spark, sf_dir):
     return IO.read_corpus_lines(spark, path)
 
 
-@register("src_distance_lines", _c(phrase_sql("dist"), PAIRS_CTE, dist_cte("dist", "pairs", "dfc")))
+@register("src_distance_lines", _c(phrase_sql("dist"), NEEDED_CTE, dist_cte("dist", "npairs", "dfc")))
 def q_src_distance(spark, sf_dir):
     s = srel(spark, sf_dir)
     dist = C.phrase_distance(s, C.corpus_a(s))

@@ -20,7 +20,7 @@ qq AS (SELECT an.lang, an.source, array_to_string(list_slice(t.w, 1, 3), ' ') AS
 rel AS (
   SELECT t.doc_id AS id, qq.query,
          array_to_string(list_slice(t.w, 1, 12), ' ') AS product_title,
-         nullif(array_to_string(list_slice(t.w, 13, 60), ' '), '') AS product_description,
+         nullif(array_to_string(list_slice(t.w, 13, len(t.w)), ' '), '') AS product_description,
          cast(1 + 2*l.quality + (1 - l.toxic) AS integer) AS median_relevance,
          cast(CASE WHEN l.doc_id IS NOT NULL THEN (t.doc_id % 5) * 0.25 END AS double) AS relevance_variance
   FROM toks t JOIN qq ON qq.lang = t.lang AND qq.source = t.source

@@ -127,11 +127,37 @@ def q_union_distinct(spark, sf_dir):
             .where(F.col("text").isNotNull()).distinct())
 
 
+_WORD_SETS = ("(SELECT id, list_filter(string_split(query, ' '), lambda x: x <> '') AS q, "
+              "list_filter(string_split(product_title, ' '), lambda x: x <> '') AS t FROM srel)")
+
+
+def _set_sql(test: str) -> str:
+    return (f"SELECT id, unnest(list_filter(list_distinct(q), lambda x: {test} list_contains(t, x))) AS word "
+            f"FROM {_WORD_SETS}")
+
+
+def _word_sets(spark, sf_dir, combine):
+    from ..functions.arrays import explode_rows
+    s = srel(spark, sf_dir)
+    sets = s.select("id", combine(T.tokenize_nonempty("query"), T.tokenize_nonempty("product_title")).alias("w"))
+    return explode_rows(sets, F.col("w"), "word", "id")
+
+
+@register("set_intersect", O.with_rel(_set_sql("")))
+def q_set_intersect(spark, sf_dir):
+    """Words of the query that the title has."""
+    return _word_sets(spark, sf_dir, F.array_intersect)
+
+
+@register("set_except", O.with_rel(_set_sql("NOT")))
+def q_set_except(spark, sf_dir):
+    """Words of the query that the title lacks."""
+    return _word_sets(spark, sf_dir, F.array_except)
+
+
 @register("set_intersect_except", O.with_rel(
-    "SELECT id, len(list_filter(list_distinct(q), lambda x: list_contains(t, x))) AS n_common, "
-    "len(list_filter(list_distinct(q), lambda x: NOT list_contains(t, x))) AS n_query_only FROM ("
-    "SELECT id, list_filter(string_split(query, ' '), lambda x: x <> '') AS q, "
-    "list_filter(string_split(product_title, ' '), lambda x: x <> '') AS t FROM srel)"))
+    f"SELECT id, len(list_filter(list_distinct(q), lambda x: list_contains(t, x))) AS n_common, "
+    f"len(list_filter(list_distinct(q), lambda x: NOT list_contains(t, x))) AS n_query_only FROM {_WORD_SETS}"))
 def q_set_ops(spark, sf_dir):
     s = srel(spark, sf_dir)
     q, t = T.tokenize_nonempty("query"), T.tokenize_nonempty("product_title")

@@ -53,43 +53,34 @@ def q_combine(spark, sf_dir):
                     T.combine_text("query", "product_title", "product_description").alias("doc3"))
 
 
-@register("tokenize_ws", f"""
-SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda x: x = '')) AS n_empty
-FROM (SELECT doc_id, string_split_regex(text, '{WS}+') AS t FROM documents)""")
+def _token_rows(spark, sf_dir, tokens):
+    """``doc_id, pos, token`` of every document."""
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(tokens).alias("pos", "token"))
+
+
+def _token_sql(tokens: str) -> str:
+    return (f"SELECT doc_id, cast(unnest(range(0, len(t))) AS integer) AS pos, unnest(t) AS token "
+            f"FROM (SELECT doc_id, {tokens} AS t FROM documents)")
+
+
+@register("tokenize_ws", _token_sql(f"string_split_regex(text, '{WS}+')"))
 def q_tok_ws(spark, sf_dir):
-    t = T.tokenize_ws("text")
-    return docs(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"),
-                                      F.size(F.filter(t, lambda x: x == "")).alias("n_empty"))
+    return _token_rows(spark, sf_dir, T.tokenize_ws("text"))
 
 
-@register("tokenize_space", """
-SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda x: x = '')) AS n_empty
-FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)""")
+@register("tokenize_space", _token_sql("string_split(text, ' ')"))
 def q_tok_space(spark, sf_dir):
-    t = T.tokenize_space("text")
-    return docs(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"),
-                                      F.size(F.filter(t, lambda x: x == "")).alias("n_empty"))
+    return _token_rows(spark, sf_dir, T.tokenize_space("text"))
 
 
-@register("tokenize_nonempty", """
-SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n_tokens,
-       len(list_distinct(list_filter(string_split(text, ' '), lambda x: x <> ''))) AS n_distinct
-FROM documents""")
+@register("tokenize_nonempty", _token_sql("list_filter(string_split(text, ' '), lambda x: x <> '')"))
 def q_tok_nonempty(spark, sf_dir):
-    t = T.tokenize_nonempty("text")
-    return docs(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"),
-                                      F.size(F.array_distinct(t)).alias("n_distinct"))
+    return _token_rows(spark, sf_dir, T.tokenize_nonempty("text"))
 
 
-@register("tokenize_word", f"""
-SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct,
-       array_to_string(list_slice(list_sort(list_distinct(t)), 1, 5), ' ') AS first_terms
-FROM (SELECT doc_id, {O.sql_words('text')} AS t FROM documents)""")
+@register("tokenize_word", _token_sql(O.sql_words('text')))
 def q_tok_word(spark, sf_dir):
-    t = T.tokenize_word("text")
-    return docs(spark, sf_dir).select(
-        "doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"),
-        F.array_join(F.slice(F.array_sort(F.array_distinct(t)), 1, 5), " ").alias("first_terms"))
+    return _token_rows(spark, sf_dir, T.tokenize_word("text"))
 
 
 @register("normalize_text", f"""
@@ -99,12 +90,10 @@ def q_normalize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.normalize_text("text").alias("text"))
 
 
-@register("remove_stopwords", f"""
-SELECT doc_id, len(list_filter(string_split(lower(text), ' '), lambda t: NOT list_contains({STOP_SQL}, t)))
-       AS n_kept FROM documents""")
+@register("remove_stopwords", _token_sql(
+    f"list_filter(string_split(lower(text), ' '), lambda t: NOT list_contains({STOP_SQL}, t))"))
 def q_stopwords(spark, sf_dir):
-    kept = T.remove_stopwords(F.split(F.lower("text"), " ", -1), ENGLISH_STOPWORDS)
-    return docs(spark, sf_dir).select("doc_id", F.size(kept).alias("n_kept"))
+    return _token_rows(spark, sf_dir, T.remove_stopwords(F.split(F.lower("text"), " ", -1), ENGLISH_STOPWORDS))
 
 
 def _punct_sql(x: str) -> str:

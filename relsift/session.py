@@ -7,10 +7,12 @@ master is local and none is configured (tests, bench).
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,36 +40,29 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use ``spark.checkpoint.dir`` from the session; invent one only in local mode.
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is only acceptable when driver and executors are the
-    same JVM, so on a cluster an unset ``spark.checkpoint.dir`` is an error.
-    """
+    Only where driver and executors are one process (a plain ``local`` master) may it
+    be unset: a temporary folder then serves until the process ends."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...)")
     path = tempfile.mkdtemp(prefix="relsift-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss).
-
-    The frame is persisted while the checkpoint is written: the eager count and
-    the checkpoint write are two jobs, and without the cache the second one
-    would compute the whole plan again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    """``df`` as a table in the shared folder: computed once, lineage cut, readable after
+    executor loss, and pruned by column where it is read."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/relsift-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

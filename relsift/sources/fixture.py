@@ -5,7 +5,7 @@
 relevance_variance)`` as specified in FIXTURES.md:
 
 * query        = first 3 words of the lowest-id document of the same (lang, source)
-* title        = words 1..12, description = words 13..60 (null if none)
+* title        = words 1..12, description = all words from 13 on (null if none)
 * relevance    = 1 + 2*quality + (1 - toxic); null (test row) without a label
 * variance     = (id % 5) * 0.25 on train rows
 """
@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS
-from ..operators.skew import join_checked
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -28,23 +27,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def relevance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``rel`` fixture. One scan of ``documents``; the query per (lang, source)
-    comes from a ``min_by`` aggregate (partial aggregation, safe for hot groups) and
-    is joined back by a size-checked broadcast (one row per (lang, source))."""
+    """The ``rel`` fixture over whole texts. The query of each (lang, source) comes from
+    its lowest id, found without reading ``text``; only these documents' texts are read
+    besides the one pass over all. The query table has one row per (lang, source), so
+    Spark broadcasts it by its size."""
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
-    toks = docs.select(
-        "doc_id", "lang", "source",
-        F.filter(F.split("text", WS_CLASS + "+", -1), lambda x: x != "").alias("w"))
-    queries = (toks.groupBy("lang", "source")
-               .agg(F.min_by(F.array_join(F.slice("w", 1, 3), " "), F.col("doc_id")).alias("query")))
-    rows = join_checked(toks, queries, ["lang", "source"])
+    words = F.filter(F.split("text", WS_CLASS + "+", -1), lambda x: x != "")
+    anchors = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
+    queries = (docs.select("doc_id", "text").join(anchors, "doc_id")
+               .select("lang", "source", F.array_join(F.slice(words, 1, 3), " ").alias("query")))
+    rows = docs.select("doc_id", "lang", "source", words.alias("w")).join(queries, ["lang", "source"])
     labelled = rows.join(labels.withColumn("_labelled", F.lit(True)), "doc_id", "left")
     return labelled.select(
         F.col("doc_id").alias("id"),
         "query",
         F.array_join(F.slice("w", 1, 12), " ").alias("product_title"),
-        F.nullif(F.array_join(F.slice("w", 13, 48), " "), F.lit("")).alias("product_description"),
+        F.nullif(F.array_join(F.slice("w", F.lit(13), F.greatest(F.size("w"), F.lit(1))), " "), F.lit("")).alias("product_description"),
         (1 + 2 * F.col("quality") + (1 - F.col("toxic"))).cast("int").alias("median_relevance"),
         F.when(F.col("_labelled"), (F.col("doc_id") % 5) * F.lit(0.25))
         .cast("double").alias("relevance_variance"),
