@@ -119,6 +119,8 @@ class ChunkTable:
         yield from self._flush(waiting)
 
     def _flush(self, waiting: list[list[list[str]]]) -> Iterator[tuple[np.ndarray, str]]:
+        if not waiting:
+            return
         if all(len(p) <= 1 for p in waiting):  # short texts: one lookup for all of them
             at = self.positions([c for p in waiting for chunks in p for c in chunks])
             ends = np.cumsum([sum(map(len, p)) for p in waiting])
@@ -152,9 +154,9 @@ def marked_pieces(text: str) -> Iterator[str]:
     yield marked[lo:]
 
 
-def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, by default, ``ids, decoded``
-    of every row of ``docs`` (``doc_id, text``).
+def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, with_text: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``docs``
+    (``doc_id, text``), by default its ``ids``, and on request the ``decoded`` text.
 
     ``model_path`` must exist on every executor, as the installed tokenizer package
     does. A null text counts as empty: begin and end id only, decoded ''. Rows that
@@ -162,7 +164,9 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) ->
     encoded whole."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
-        schema += ", ids array<int>, decoded string"
+        schema += ", ids array<int>"
+    if with_text:
+        schema += ", decoded string"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(load_processor(model_path))
@@ -176,10 +180,13 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) ->
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
                         out["ids"].append(ids.astype(np.int32))
+                    if with_text:
                         out["decoded"].append(decoded)
                 columns = [part.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
                 if with_ids:
-                    columns += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())]
+                    columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
+                if with_text:
+                    columns.append(pa.array(out["decoded"], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(encode, schema)
