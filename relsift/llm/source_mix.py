@@ -76,10 +76,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_re
     targets = source_targets(sizes, weights, budget, max_repeat)
     per_class = (sizes.groupBy("src", "no_src", _size_class().alias("cls"))
                  .agg(F.count(F.lit(1)).alias("_n")))
-    buckets = per_class.select("src", "no_src", "cls", F.greatest(
-        F.lit(MIN_BUCKETS), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("long").alias("_buckets"))
-    rows = (sizes.withColumn("cls", _size_class()).join(buckets, ["src", "no_src", "cls"])
-            .withColumn("part", _scattered(F.col("doc_id")) % F.col("_buckets")).drop("_buckets"))
+    buckets = written(per_class.select("src", "no_src", "cls", F.greatest(
+        F.lit(MIN_BUCKETS), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("long").alias("_buckets")), "mix-buckets")
+    # written, so that the ranking deals rows out by bucket and not as this join left them
+    rows = written(sizes.withColumn("cls", _size_class()).join(buckets, ["src", "no_src", "cls"])
+                   .withColumn("part", _scattered(F.col("doc_id")) % F.col("_buckets")).drop("_buckets"), "mix-rows")
     key = ["src", "no_src", "cls", "part"]
     inside = Window.partitionBy(*key).orderBy("size", "doc_id", "tie")
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
