@@ -8,11 +8,11 @@ counts*, so the training data is never copied k times:
     cnt_f(c, t) = cnt(c, t) - cnt_in_fold_f(c, t)
     df_f(t)     = df(t) - df_in_fold_f(t)
 
-The per-fold dictionary size and class totals are sums over terms; they split
-into terms that occur in fold ``f`` (joined exactly) and all other terms, whose
-per-fold values equal the totals and are read from a histogram over document
-frequency. Everything is aggregates and equi-joins; no group holds more than
-one document's terms, and the histogram has one row per distinct df value.
+The dictionary has one row per (view, term): total counts by class, total document
+frequency, and the at most ``k * classes`` counts by (fold, class). A view's equal texts
+are one text: its terms are counted once and each model scores it once. Scoring joins a
+text's terms with the dictionary once; both sides are plain table scans, so Spark splits
+a frequent term's rows (skew join).
 
 [pin] prior ``ln(n_c / N)``; add-one smoothing ``ln((cnt + 1) / (tot_c + |V|))``;
 terms outside the dictionary are ignored; view probabilities are averaged
@@ -22,14 +22,14 @@ and the arg-max class wins (lowest class on ties).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import explode_rows
 from ..session import materialize
-from .tfidf import staged_terms, term_counts
 
 # The three views and their dictionary bounds (share of
 # documents, minimum document frequency) as in the reference trainer.
@@ -54,133 +54,124 @@ def bag_tokens(c: Column) -> Column:
     return F.transform(F.filter(T.tokenize_ws(T.normalize_text(c)), lambda x: x != ""), T.s_stem)
 
 
-def bag_of_terms(docs: DataFrame, views: Sequence[str] = tuple(VIEWS)) -> DataFrame:
-    """``(view, id, term, tf)``: unigrams plus tagged bigrams per view."""
-    out = None
-    for v in views:
-        st = staged_terms(docs, bag_tokens(view_text(v)), lambda t: F.concat(t, T.word_bigrams_tagged(t)))
-        tc = term_counts(st, F.col("_terms")).withColumn("view", F.lit(v))
-        out = tc if out is None else out.unionByName(tc)
-    return out.select("view", "id", "term", "tf")
+class Bag(NamedTuple):
+    """``places``: ``(view, id, tid)``, the text that a row has in a view;
+    ``terms``: ``(view, tid, term, tf)`` of each distinct text."""
 
+    places: DataFrame
+    terms: DataFrame
 
-def _params(spark, views: Sequence[str]) -> DataFrame:
-    rows = [(v, float(VIEWS[v][0]), max(int(VIEWS[v][1]), 1)) for v in views]
-    return spark.createDataFrame(rows, "view string, max_share double, min_df int")
 
+def bag_of_terms(docs: DataFrame, views: Sequence[str] = tuple(VIEWS)) -> Bag:
+    """Unigrams plus tagged bigrams of each distinct text per view."""
+    rows = docs.select("id", F.explode(F.array(*[F.struct(F.lit(v).alias("view"), view_text(v).alias("text")) for v in views])).alias("x"))
+    rows = materialize(rows.select("x.view", "id", F.xxhash64("x.view", "x.text").alias("tid"), "x.text"))
+    texts = rows.groupBy("view", "tid").agg(F.min("text").alias("text"))
+    tokens = texts.select("view", "tid", bag_tokens(F.col("text")).alias("_tok"))
+    words = explode_rows(tokens.select("view", "tid", F.concat("_tok", T.word_bigrams_tagged(F.col("_tok"))).alias("_terms")),
+                         F.col("_terms"), "term", "view", "tid")
+    return Bag(rows.select("view", "id", "tid"),
+               materialize(words.groupBy("view", "tid", "term").agg(F.count(F.lit(1)).alias("tf"))))
 
-def train_statistics(bag: DataFrame, labels: DataFrame, k: int, views: Sequence[str] = tuple(VIEWS),
+
+def train_statistics(bag: Bag, labels: DataFrame, k: int, views: Sequence[str] = tuple(VIEWS),
                      classes: Sequence[int] = CLASSES) -> dict[str, DataFrame]:
-    """Count tables for all models f = 0..k (see module docstring).
+    """``dict`` (see module docstring) and ``models``: per (view, f) the dictionary
+    bounds, its size, and by class the term total and log prior.
 
     ``labels``: ``(id, label, fold)`` for the labelled rows, fold in 1..k.
     """
-    spark = bag.sparkSession
-    tfl = bag.join(labels, "id")
-    # The count tables feed several joins below: materialize them once.
-    A = materialize(tfl.groupBy("view", "fold", "term", "label").agg(F.sum("tf").alias("a")))
-    D = materialize(tfl.groupBy("view", "fold", "term").agg(F.count(F.lit(1)).alias("d")))
-    # totals over folds: one aggregate each over a checkpointed table; cached
-    # (a lost block is recomputed from the checkpoint, not from the documents)
-    At = A.groupBy("view", "term", "label").agg(F.sum("a").alias("at")).persist(StorageLevel.MEMORY_AND_DISK)
-    Dt = D.groupBy("view", "term").agg(F.sum("d").alias("dt")).persist(StorageLevel.MEMORY_AND_DISK)
-    ncf = labels.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("ncf"))
-    nct = labels.groupBy("label").agg(F.count(F.lit(1)).alias("nct"))
-    # docs per class for each model: total minus the fold's own
-    docs_fc = nct.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    docs_fc = (docs_fc.join(ncf.withColumnRenamed("fold", "f"), ["f", "label"], "left")
-               .select("f", "label", (F.col("nct") - F.coalesce("ncf", F.lit(0))).alias("n_c")))
-    n_f = docs_fc.groupBy("f").agg(F.sum("n_c").alias("n_f"))
-    bounds = (_params(spark, views).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k))))
-              .join(n_f, "f").select("view", "f", "min_df", (F.col("max_share") * F.col("n_f")).alias("hi")))
-
-    def in_dict(df_col: Column) -> Column:
-        return (df_col >= F.col("min_df")) & (df_col <= F.col("hi"))
-
-    # (a) all terms with their total df, per model bound (histogram by df value)
-    hist_n = Dt.groupBy("view", "dt").agg(F.count(F.lit(1)).alias("terms"))
-    hist_a = Dt.join(At, ["view", "term"]).groupBy("view", "dt", "label").agg(F.sum("at").alias("at"))
-    all_v = (hist_n.join(bounds, "view").where(in_dict(F.col("dt")))
-             .groupBy("view", "f").agg(F.sum("terms").alias("v")))
-    all_t = (hist_a.join(bounds, "view").where(in_dict(F.col("dt")))
-             .groupBy("view", "f", "label").agg(F.sum("at").alias("tot")))
-    # (b) terms occurring in fold f: remove their total-based contribution, add the exact one
-    inf = (D.withColumnRenamed("fold", "f").join(Dt, ["view", "term"]).join(bounds, ["view", "f"])
-           .select("view", "f", "term", F.when(in_dict(F.col("dt")), 1).otherwise(0).alias("was"),
-                   F.when(in_dict(F.col("dt") - F.col("d")), 1).otherwise(0).alias("now")))
-    fix_v = inf.groupBy("view", "f").agg((F.sum("now") - F.sum("was")).alias("dv"))
-    inf_a = (inf.join(At, ["view", "term"])
-             .join(A.withColumnRenamed("fold", "f"), ["view", "f", "term", "label"], "left")
-             .select("view", "f", "label",
-                     (F.col("now") * (F.col("at") - F.coalesce("a", F.lit(0)))
-                      - F.col("was") * F.col("at")).alias("dt_tot")))
-    fix_t = inf_a.groupBy("view", "f", "label").agg(F.sum("dt_tot").alias("dtot"))
-    vsize = (bounds.select("view", "f").join(all_v, ["view", "f"], "left").join(fix_v, ["view", "f"], "left")
-             .select("view", "f", (F.coalesce("v", F.lit(0)) + F.coalesce("dv", F.lit(0))).alias("vsize")))
-    cls = F.array(*[F.lit(c) for c in classes])
-    grid = bounds.select("view", "f").withColumn("label", F.explode(cls))
-    tot = (grid.join(all_t, ["view", "f", "label"], "left").join(fix_t, ["view", "f", "label"], "left")
-           .select("view", "f", "label", (F.coalesce("tot", F.lit(0)) + F.coalesce("dtot", F.lit(0))).alias("tot")))
-    prior = (docs_fc.join(n_f, "f")
-             .select("f", "label", F.when(F.col("n_c") > 0, F.log(F.col("n_c") / F.col("n_f"))).alias("log_prior")))
-    # small per-model tables (views x models x classes rows), read by every
-    # scoring join: cached lazily; their inputs are checkpointed, so a lost
-    # block is recomputed from the checkpoints
-    keep = StorageLevel.MEMORY_AND_DISK
-    return {"A": A, "D": D, "At": At, "Dt": Dt, "bounds": bounds.persist(keep), "vsize": vsize.persist(keep),
-            "tot": tot.persist(keep), "prior": prior.persist(keep)}
-
-
-def predict_views(bag: DataFrame, model_of: DataFrame, stats: dict[str, DataFrame],
-                  classes: Sequence[int] = CLASSES, views: Sequence[str] = tuple(VIEWS)) -> DataFrame:
-    """Per (view, id): class probabilities under model ``f`` of the row.
-
-    ``model_of``: ``(id, f)``, the model that scores each row."""
-    terms = bag.join(model_of, "id")
-    # dictionary of model f: df_f = df - df_in_fold_f within bounds
-    terms = (terms.join(stats["Dt"], ["view", "term"])
-             .join(stats["D"].withColumnRenamed("fold", "f"), ["view", "f", "term"], "left")
-             .join(stats["bounds"], ["view", "f"])
-             .where((F.col("dt") - F.coalesce("d", F.lit(0)) >= F.col("min_df"))
-                    & (F.col("dt") - F.coalesce("d", F.lit(0)) <= F.col("hi")))
-             .select("view", "id", "f", "term", "tf"))
-    t2 = terms.groupBy("view", "id", "f").agg(F.sum("tf").alias("t2"))
-    hits = (terms.join(stats["At"], ["view", "term"])
-            .join(stats["A"].withColumnRenamed("fold", "f"), ["view", "f", "term", "label"], "left")
-            .select("view", "id", "label", (F.col("tf") * F.log(F.col("at") - F.coalesce("a", F.lit(0)) + 1))
-                    .alias("x")))
-    t1 = hits.groupBy("view", "id", "label").agg(F.sum("x").alias("t1"))
-    cls = F.array(*[F.lit(c) for c in classes])
-    # every (view, row) gets a score, also a document without dictionary terms
-    vs = F.array(*[F.lit(v) for v in views])
-    grid = model_of.withColumn("view", F.explode(vs)).withColumn("label", F.explode(cls))
-    score = (grid.join(t1, ["view", "id", "label"], "left").join(t2, ["view", "id", "f"], "left")
-             .join(stats["tot"], ["view", "f", "label"]).join(stats["vsize"], ["view", "f"])
-             .join(stats["prior"], ["f", "label"])
-             .select("view", "id", "label",
-                     (F.col("log_prior") + F.coalesce("t1", F.lit(0.0))
-                      - F.coalesce("t2", F.lit(0)) * F.log(F.col("tot") + F.col("vsize"))).alias("s")))
-    w = Window.partitionBy("view", "id")  # four rows per group
-    score = score.withColumn("_m", F.max("s").over(w)).withColumn("_e", F.exp(F.col("s") - F.col("_m")))
-    return score.select("view", "id", "label", (F.col("_e") / F.sum("_e").over(w)).alias("p"))
-
-
-def average_probabilities(view_probs: DataFrame) -> DataFrame:
-    """Sum of the view probabilities normalized to 1, per (id, label); then
-    the arg-max class (``prediction``) per id."""
-    s = view_probs.groupBy("id", "label").agg(F.sum("p").alias("_s"))
-    w = Window.partitionBy("id")
-    s = s.withColumn("p", F.col("_s") / F.sum("_s").over(w))
-    best = s.groupBy("id").agg(F.max_by("label", F.struct(F.col("p"), -F.col("label"))).alias("prediction"))
-    return s.select("id", "label", "p").join(best, "id")
+    spark = labels.sparkSession
+    times = bag.places.join(labels, "id").groupBy("view", "tid", "fold", "label").agg(F.count(F.lit(1)).alias("m"))
+    cells = (bag.terms.join(times, ["view", "tid"]).groupBy("view", "term", "fold", "label")
+             .agg(F.sum(F.col("tf") * F.col("m")).alias("a"), F.sum("m").alias("d")))
+    totals = F.array(*[F.sum(F.when(F.col("label") == c, F.col("a")).otherwise(0)) for c in classes])
+    dictionary = materialize(cells.groupBy("view", "term").agg(
+        F.sum("d").alias("dt"), totals.alias("at"), F.collect_list(F.struct("fold", "label", "a", "d")).alias("cells")))
+    # labelled rows by fold and class: a table of k * classes rows
+    ncf = labels.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("fold") != F.col("f"), F.col("n")).otherwise(0)
+    by_class = [F.sum(F.when(F.col("label") == c, own).otherwise(0)).alias(f"n{c}") for c in classes]
+    sizes = (ncf.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k)))).groupBy("f")
+             .agg(F.sum(own).alias("n_f"), *by_class))
+    params = spark.createDataFrame([(v, float(VIEWS[v][0]), max(int(VIEWS[v][1]), 1)) for v in views], "view string, max_share double, min_df int")
+    bounds = materialize(params.join(sizes).select(
+        "view", "f", "min_df", (F.col("max_share") * F.col("n_f")).alias("hi"),
+        F.array(*[F.when(F.col(f"n{c}") > 0, F.log(F.col(f"n{c}") / F.col("n_f"))) for c in classes]).alias("prior")))
+    each = (dictionary.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k)))).join(bounds, ["view", "f"]))
+    each = _fold_counts(each, classes).where(_in_dictionary())
+    sums = each.groupBy("view", "f").agg(F.count(F.lit(1)).alias("vsize"),
+                                         F.array(*[F.sum(F.col("cnt")[i]) for i in range(len(classes))]).alias("tot"))
+    zero = F.array(*[F.lit(0).cast("long") for _ in classes])
+    models = materialize(bounds.join(sums, ["view", "f"], "left").select(
+        "view", "f", "min_df", "hi", "prior", F.coalesce("vsize", F.lit(0)).alias("vsize"), F.coalesce("tot", zero).alias("tot")))
+    return {"dict": dictionary, "models": models}
+
+
+def _fold_counts(rows: DataFrame, classes: Sequence[int]) -> DataFrame:
+    """``df`` and ``cnt`` (by class) of the term under model ``f`` of the row."""
+    rows = rows.withColumn("_own", F.filter("cells", lambda x: x["fold"] == F.col("f")))
+    zero = F.lit(0).cast("long")
+
+    def own(c: int) -> Column:
+        return F.aggregate(F.filter("_own", lambda x: x["label"] == c), zero, lambda s, x: s + x["a"])
+
+    return rows.withColumn("df", F.col("dt") - F.aggregate("_own", zero, lambda s, x: s + x["d"])).withColumn(
+        "cnt", F.array(*[F.col("at")[i] - own(c) for i, c in enumerate(classes)])).drop("_own", "cells")
+
+
+def _in_dictionary() -> Column:
+    return (F.col("df") >= F.col("min_df")) & (F.col("df") <= F.col("hi"))
+
+
+def predict_views(bag: Bag, model_of: DataFrame, stats: dict[str, DataFrame],
+                  classes: Sequence[int] = CLASSES) -> DataFrame:
+    """``(view, id, p)``: class probabilities (an array in class order, null for a class
+    without training rows) under model ``f`` of the row. ``model_of``: ``(id, f)``."""
+    placed = materialize(bag.places.join(model_of, "id"))
+    asked = placed.groupBy("view", "tid").agg(F.collect_set("f").alias("fs"))
+    rows = materialize(bag.terms.join(asked, ["view", "tid"]))
+    hits = (rows.join(stats["dict"], ["view", "term"]).withColumn("f", F.explode("fs"))
+            .join(stats["models"].select("view", "f", "min_df", "hi"), ["view", "f"]))
+    hits = _fold_counts(hits, classes).where(_in_dictionary())
+    logs = F.array(*[F.sum(F.col("tf") * F.log(F.col("cnt")[i] + 1)) for i in range(len(classes))])
+    found = hits.groupBy("view", "tid", "f").agg(F.sum("tf").alias("n"), logs.alias("x"))
+    out = placed.join(found, ["view", "tid", "f"], "left").join(stats["models"].drop("min_df", "hi"), ["view", "f"])
+    # a text without dictionary terms gets the priors
+    score = F.transform(F.sequence(F.lit(0), F.lit(len(classes) - 1)), lambda i: (
+        F.get("prior", i) + F.coalesce(F.get("x", i), F.lit(0.0))
+        - F.coalesce("n", F.lit(0)) * F.log(F.get("tot", i) + F.col("vsize"))))
+    out = out.select("view", "id", F.when(F.col("n").isNull(), F.col("prior")).otherwise(score).alias("s"))
+    out = out.withColumn("e", F.transform("s", lambda v: F.exp(v - F.array_max("s"))))
+    return out.select("view", "id", _shares("e").alias("p"))
+
+
+def _shares(c: str) -> Column:
+    total = F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return F.transform(c, lambda x: x / total)
+
+
+def average_probabilities(view_probs: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
+    """``(id, p, prediction)``: sum of the view probabilities normalized to 1 (an array),
+    and the class with the largest, the first of equal ones."""
+    sums = view_probs.groupBy("id").agg(F.array(*[F.sum(F.col("p")[i]) for i in range(len(classes))]).alias("s"))
+    p = sums.select("id", _shares("s").alias("p"))
+    return p.withColumn("prediction", F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("p", F.array_max("p")).cast("int")))
+
+
+def by_label(probs: DataFrame, *keep: str, classes: Sequence[int] = CLASSES) -> DataFrame:
+    """``keep, label, p``: one row per class that has a probability."""
+    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in classes]).alias("label"), F.col("p").alias("p"))
+    return (probs.select(*keep, F.explode(pairs).alias("x")).select(*keep, F.col("x.label").alias("label"), F.col("x.p").alias("p"))
+            .where(F.col("p").isNotNull()))
 
 
 def nb_three_view(docs: DataFrame, folds: DataFrame, k: int, label: str = "median_relevance") -> DataFrame:
     """Whole train -> predict flow: out-of-fold predictions for labelled rows,
     the all-train model for unlabelled rows. ``docs``: (id, query, product_title);
-    ``folds``: (id, label, fold) for labelled rows. Returns (id, label, p, prediction)."""
+    ``folds``: (id, label, fold) for labelled rows. Returns (id, p, prediction)."""
     labels = folds.select("id", F.col(label).cast("int").alias("label"), "fold")
-    bag = materialize(bag_of_terms(docs))
+    bag = bag_of_terms(docs)
     stats = train_statistics(bag, labels, k)
     model_of = (docs.select("id").join(labels.select("id", "fold"), "id", "left")
                 .select("id", F.coalesce("fold", F.lit(0)).alias("f")))
@@ -190,19 +181,7 @@ def nb_three_view(docs: DataFrame, folds: DataFrame, k: int, label: str = "media
 def nb_model_table(stats: dict[str, DataFrame], f: int = 0, classes: Sequence[int] = CLASSES) -> DataFrame:
     """Log-likelihood table of model ``f``: ``(view, label, term, log_lik)`` over
     its dictionary (fold ``f``'s own counts removed)."""
-    cls = F.array(*[F.lit(c) for c in classes])
-    d_f = stats["D"].where(F.col("fold") == f).select("view", "term", "d")
-    vocab = (stats["Dt"].join(d_f, ["view", "term"], "left")
-             .join(stats["bounds"].where(F.col("f") == f), "view")
-             .withColumn("df_f", F.col("dt") - F.coalesce("d", F.lit(0)))
-             .where((F.col("df_f") >= F.col("min_df")) & (F.col("df_f") <= F.col("hi")))
-             .select("view", "term"))
-    a_f = stats["A"].where(F.col("fold") == f).select("view", "term", "label", "a")
-    grid = vocab.withColumn("label", F.explode(cls))
-    cnt = (grid.join(stats["At"], ["view", "term", "label"], "left").join(a_f, ["view", "term", "label"], "left")
-           .select("view", "term", "label", (F.coalesce("at", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("cnt")))
-    tot = stats["tot"].where(F.col("f") == f).select("view", "label", "tot")
-    vs = stats["vsize"].where(F.col("f") == f).select("view", "vsize")
-    return (cnt.join(tot, ["view", "label"]).join(vs, "view")
-            .select("view", "label", "term",
-                    F.log((F.col("cnt") + 1) / (F.col("tot") + F.col("vsize"))).alias("log_lik")))
+    rows = stats["dict"].withColumn("f", F.lit(f)).join(stats["models"], ["view", "f"])
+    rows = _fold_counts(rows, classes).where(_in_dictionary())
+    lik = F.transform(F.arrays_zip("cnt", "tot"), lambda x: F.log((x["cnt"] + 1) / (x["tot"] + F.col("vsize"))))
+    return by_label(rows.select("view", "term", lik.alias("p")), "view", "term", classes=classes).withColumnRenamed("p", "log_lik")

@@ -15,6 +15,7 @@ from ..sources.fixture import read_table, relevance_table
 from ..streaming.features import start_pair_feature_sink
 from . import oracle as O
 from .corpus_queries import NEEDED_CTE, _c, dist_cte, phrase_sql
+from .nb_queries import NB_CTES
 from .registry import ORACLE, register, srel
 
 NORM = ("trim(regexp_replace(regexp_replace(lower(regexp_replace({x}, '" + O.WS + "', ' ', 'g')), "
@@ -66,9 +67,14 @@ def q_src_csv(spark, sf_dir):
     return IO.read_relevance_csv(spark, path)
 
 
-@register("src_corpus_lines")
+@register("src_corpus_lines", O.with_rel(
+    "SELECT id * 2 AS id, product_title AS text FROM srel UNION ALL "
+    "SELECT id * 2 + 1 AS id, product_description AS text FROM srel WHERE product_description IS NOT NULL"))
 def q_src_corpus(spark, sf_dir):
-    corp = C.corpus_a(srel(spark, sf_dir)).select(F.xxhash64("doc").alias("id"), "text")
+    """Titles (even ids) and descriptions (odd ids) as lines, written and read back."""
+    s = srel(spark, sf_dir)
+    corp = s.select((F.col("id") * 2).alias("id"), F.col("product_title").alias("text")).unionByName(
+        s.where(F.col("product_description").isNotNull()).select((F.col("id") * 2 + 1).alias("id"), F.col("product_description").alias("text")))
     path = IO.write_lines(corp, IO.scratch_dir(spark, "corpus"), "text")
     return IO.read_corpus_lines(spark, path)
 
@@ -98,14 +104,17 @@ def q_src_folds(spark, sf_dir):
     return IO.read_fold_dir(spark, path).select("id", F.col("fold_i").cast("int").alias("fold_i"), "part")
 
 
-@register("sink_features_csv")
+@register("sink_features_csv", ORACLE["distance_features"])
 def q_sink_features(spark, sf_dir):
     feats = FE.distance_features(srel(spark, sf_dir))
     path = IO.write_csv(feats, IO.scratch_dir(spark, "features"))
     return spark.read.option("header", True).schema(feats.schema).csv(path)
 
 
-@register("sink_submission")
+@register("sink_submission", O.with_rel(
+    "SELECT s.id, cast(coalesce(m.maxr, 4) AS integer) AS prediction FROM srel s LEFT JOIN (SELECT query, "
+    "max(median_relevance) AS maxr FROM srel WHERE median_relevance IS NOT NULL GROUP BY query) m USING (query) "
+    "WHERE s.median_relevance IS NULL"))
 def q_sink_submission(spark, sf_dir):
     s = srel(spark, sf_dir)
     pred = FE.query_minmax_rating(s).select("id", F.coalesce("maxr", F.lit(4.0)).alias("prediction"))
@@ -114,14 +123,15 @@ def q_sink_submission(spark, sf_dir):
     return spark.read.option("header", True).schema("id long, prediction int").csv(path)
 
 
-@register("sink_probabilities")
+@register("sink_probabilities", O.with_rel(
+    "SELECT id, " + ", ".join(O.r6(f"max(CASE WHEN label = {c} THEN p END)") + f" AS L{c}" for c in (1, 2, 3, 4))
+    + " FROM fin GROUP BY id", extra=NB_CTES))
 def q_sink_probs(spark, sf_dir):
     from .nb_queries import _model
     from ..operators import naive_bayes as NB
-    bag, stats, model_of = _model(spark, sf_dir)
+    bag, stats, model_of, _ = _model(spark, sf_dir)
     p = NB.average_probabilities(NB.predict_views(bag, model_of, stats))
-    wide = p.groupBy("id").pivot("label", [1, 2, 3, 4]).agg(F.first("p"))
-    wide = wide.select("id", *[F.col(str(c)).alias(f"L{c}") for c in (1, 2, 3, 4)])
+    wide = p.select("id", *[F.col("p")[i].alias(f"L{i + 1}") for i in range(4)])
     path = IO.sink_probabilities(wide, IO.scratch_dir(spark, "probabilities"))
     return spark.read.parquet(path)
 

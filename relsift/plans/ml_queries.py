@@ -22,7 +22,7 @@ from ..functions import text as T
 from ..session import materialize
 from . import oracle as O
 from .nb_queries import NB_CTES, _model as nb_model
-from .registry import register, srel
+from .registry import ORACLE, register, srel
 
 DIST_COLS = FE.DISTANCE_HEADER
 COVER_COLS = ["qInT", "qInD", "qInT_qWords", "qInT_ptWords", "qInT_pdWords", "ptw", "pdw"]
@@ -121,14 +121,15 @@ def q_index(spark, sf_dir):
     "WHERE s.median_relevance IS NULL", extra=NB_CTES))
 def q_ensemble(spark, sf_dir):
     s, _, test = _labelled(spark, sf_dir)
-    bag, stats, model_of = nb_model(spark, sf_dir)
-    nb = NB.average_probabilities(NB.predict_views(bag, model_of, stats)).select("id", "prediction").distinct()
+    bag, stats, model_of, _ = nb_model(spark, sf_dir)
+    nb = NB.average_probabilities(NB.predict_views(bag, model_of, stats)).select("id", "prediction")
     mm = FE.query_minmax_rating(s).select("id", F.coalesce(F.col("maxr"), F.lit(4.0)).alias("prediction"))
     tid = test.select("id")
     return M.ensemble_floor_mean([nb.join(tid, "id"), mm.join(tid, "id")])
 
 
-@register("feature_union")
+@register("feature_union", "SELECT id, [" + ", ".join(O.r6(c) for c in ("X1", "X2", "X3", "X4", "minr", "maxr"))
+          + "] AS features FROM (" + ORACLE["overlap_minmax"] + ")")
 def q_feature_union(spark, sf_dir):
     s = srel(spark, sf_dir)
     ov = FE.overlap_features(s)

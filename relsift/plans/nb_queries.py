@@ -28,11 +28,11 @@ def _inputs(spark, sf_dir):
 
 def _model(spark, sf_dir):
     docs, labels = _inputs(spark, sf_dir)
-    bag = materialize(NB.bag_of_terms(docs))
+    bag = NB.bag_of_terms(docs)
     stats = NB.train_statistics(bag, labels, K)
     model_of = (docs.select("id").join(labels.select("id", "fold"), "id", "left")
                 .select("id", F.coalesce("fold", F.lit(0)).alias("f")))
-    return bag, stats, model_of
+    return bag, stats, model_of, labels
 
 
 def _view_sql(view: str) -> str:
@@ -85,20 +85,20 @@ def _nb(body: str) -> str:
 @register("nb_three_view", _nb(
     "SELECT DISTINCT id, first_value(label) OVER (PARTITION BY id ORDER BY p DESC, label) AS prediction FROM fin"))
 def q_nb_three_view(spark, sf_dir):
-    bag, stats, model_of = _model(spark, sf_dir)
-    return NB.average_probabilities(NB.predict_views(bag, model_of, stats)).select("id", "prediction").distinct()
+    bag, stats, model_of, _ = _model(spark, sf_dir)
+    return NB.average_probabilities(NB.predict_views(bag, model_of, stats)).select("id", "prediction")
 
 
 @register("average_probabilities", _nb("SELECT id, label, " + O.r6("p") + " AS p FROM fin"))
 def q_avg_probs(spark, sf_dir):
-    bag, stats, model_of = _model(spark, sf_dir)
-    return NB.average_probabilities(NB.predict_views(bag, model_of, stats)).select("id", "label", "p")
+    bag, stats, model_of, _ = _model(spark, sf_dir)
+    return NB.by_label(NB.average_probabilities(NB.predict_views(bag, model_of, stats)), "id")
 
 
 @register("nb_predict", _nb("SELECT view, id, label, " + O.r6("p") + " AS p FROM pv"))
 def q_nb_predict(spark, sf_dir):
-    bag, stats, model_of = _model(spark, sf_dir)
-    return NB.predict_views(bag, model_of, stats)
+    bag, stats, model_of, _ = _model(spark, sf_dir)
+    return NB.by_label(NB.predict_views(bag, model_of, stats), "view", "id")
 
 
 @register("nb_train", _nb(
@@ -108,7 +108,7 @@ def q_nb_predict(spark, sf_dir):
     "JOIN tot tt ON tt.view = v.view AND tt.f = v.f AND tt.label = c.label "
     "JOIN vsz vz ON vz.view = v.view AND vz.f = v.f WHERE v.f = 0"))
 def q_nb_train(spark, sf_dir):
-    bag, stats, _ = _model(spark, sf_dir)
+    stats = _model(spark, sf_dir)[1]
     return NB.nb_model_table(stats, 0)
 
 
@@ -122,9 +122,8 @@ def q_nb_train(spark, sf_dir):
     "FROM nbfolds l JOIN (SELECT DISTINCT id, first_value(label) OVER (PARTITION BY id ORDER BY p DESC, label) "
     "AS prediction FROM fin) p USING (id) GROUP BY l.fold)"))
 def q_nb_fold_qwk(spark, sf_dir):
-    bag, stats, model_of = _model(spark, sf_dir)
-    _, labels = _inputs(spark, sf_dir)
-    pred = NB.average_probabilities(NB.predict_views(bag, model_of, stats)).select("id", "prediction").distinct()
+    bag, stats, model_of, labels = _model(spark, sf_dir)
+    pred = NB.average_probabilities(NB.predict_views(bag, model_of, stats)).select("id", "prediction")
     per_fold = EV.qwk(labels.join(pred, "id"), "label", "prediction", groups=["fold"])
     return per_fold.agg(F.count(F.lit(1)).alias("folds"), F.min("qwk").alias("min"),
                         F.avg("qwk").alias("mean"), F.max("qwk").alias("max"))

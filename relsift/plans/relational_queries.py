@@ -178,3 +178,59 @@ def q_sort_pair(spark, sf_dir):
     return (b.where(F.col("a") != F.col("b"))
             .select(F.least("a", "b").alias("word1"), F.greatest("a", "b").alias("word2")).distinct())
 
+
+
+_RANGES_SQL = ("(SELECT query, max(median_relevance) AS maxr, min(median_relevance) AS minr FROM srel "
+               "WHERE median_relevance IS NOT NULL GROUP BY query)")
+
+
+@register("join_lookup_left", O.with_rel(
+    "SELECT s.id, s.query, r.maxr, r.minr FROM srel s LEFT JOIN " + _RANGES_SQL + " r USING (query)"))
+def q_join_lookup(spark, sf_dir):
+    """Every row with its query's rating range, null for a query unseen in train."""
+    s = srel(spark, sf_dir)
+    ranges = (s.where(F.col("median_relevance").isNotNull()).groupBy("query")
+              .agg(F.max("median_relevance").alias("maxr"), F.min("median_relevance").alias("minr")))
+    return s.select("id", "query").join(ranges, "query", "left")
+
+
+@register("filter_min_count_len", O.with_rel(
+    "SELECT word, count(*) AS n FROM (SELECT id, unnest(list_distinct(list_filter(string_split(product_title, ' '), "
+    "lambda x: x <> ''))) AS word FROM srel) GROUP BY word HAVING count(*) >= 20 AND length(word) >= 2"))
+def q_filter_min_count(spark, sf_dir):
+    """Title words in at least 20 rows and of at least 2 letters."""
+    from ..functions.arrays import explode_rows
+    from ..operators import corpus as C
+    s = srel(spark, sf_dir).select("id", F.array_distinct(T.tokenize_nonempty("product_title")).alias("w"))
+    counts = explode_rows(s, F.col("w"), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return C.pruned_vocabulary(counts)
+
+
+@register("topk_by_count", O.with_rel(
+    "SELECT query, n, rank FROM (SELECT query, count(*) AS n, cast(row_number() OVER (ORDER BY count(*) DESC, query) "
+    "AS integer) AS rank FROM srel GROUP BY query) WHERE rank <= 20"))
+def q_topk(spark, sf_dir):
+    """The 20 most frequent queries (a top-k report)."""
+    from pyspark.sql import Window
+    counts = srel(spark, sf_dir).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "query").limit(20)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "query")))
+
+
+def _sort_asc_sql() -> str:
+    from .corpus_queries import NEEDED_CTE, _c, dist_cte
+    return _c("SELECT word1, word2, " + O.r6("distance") + " AS distance, row_number() OVER (ORDER BY " + O.r6("distance") + ", word1, "
+              "word2) AS rank FROM dist WHERE distance IS NOT NULL", NEEDED_CTE, dist_cte("dist", "npairs", "dfc"))
+
+
+@register("sort_asc", _sort_asc_sql())
+def q_sort_asc(spark, sf_dir):
+    """The finite distances of the given pairs in ascending order, with their rank."""
+    from ..operators import corpus as C
+    from ..operators.skew import rank_within
+    s = srel(spark, sf_dir)
+    dist = C.pair_distance(C.query_title_pairs(s), C.corpus_a(s))
+    finite = dist.where(F.col("distance").isNotNull() & (F.col("distance") != F.lit(float("inf"))))
+    finite = finite.withColumn("distance", F.round("distance", 6))  # one order in both engines
+    return rank_within(finite, [], ["distance", "word1", "word2"], out="rank").select(
+        "word1", "word2", "distance", F.col("rank").cast("long").alias("rank"))
