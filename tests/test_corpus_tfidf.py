@@ -82,3 +82,60 @@ def test_distances_non_negative_on_fixture(spark, sf_small):
     assert d.where(F.col("distance") < 0).count() == 0
     sym = C.word_cooccurrence(corp).where(F.col("word1") >= F.col("word2")).count()
     assert sym == 0
+
+
+def test_block_pairs_equal_all_pairs_and_spread(spark, monkeypatch):
+    """A long text's pairs come from many (document, block, block) keys and lose none."""
+    from itertools import combinations
+    from relsift.operators import corpus as C
+    monkeypatch.setattr(C, "PAIR_BLOCK", 16)
+    words = [f"w{i}" for i in range(150)]
+    texts = [(0, " ".join(words)), (1, "w1 w2 w1"), (2, "solo"), (3, "")]
+    corp = spark.createDataFrame(texts, "doc long, text string")
+    got = {(r["word1"], r["word2"]): r["n"] for r in C.word_cooccurrence(corp).collect()}
+    want = {}
+    for _, t in texts:
+        for a, b in combinations(sorted(set(t.split())), 2):
+            want[a, b] = want.get((a, b), 0) + 1
+    assert got == want
+    blocks = -(-len(words) // C.PAIR_BLOCK)
+    assert blocks * (blocks + 1) // 2 > 20  # keys that share the work of document 0
+
+
+def test_pair_distance_of_absent_pairs(spark):
+    from relsift.operators import corpus as C
+    corp = spark.createDataFrame([(0, "a b"), (1, "a c"), (2, "b c"), (3, "d")], "doc long, text string")
+    given = spark.createDataFrame([("b", "a"), ("a", "b"), ("a", "d"), ("a", "nowhere")], "w1 string, w2 string")
+    got = {(r["word1"], r["word2"]): r["distance"] for r in C.pair_distance(given, corp).collect()}
+    assert got["a", "d"] == got["a", "nowhere"] == float("inf")
+    assert abs(got["a", "b"] - 1.0) < 1e-9 and len(got) == 3  # (ln 2 - ln 1) / (ln 4 - ln 2)
+
+
+def test_quartiles_by_rank(spark):
+    import numpy as np
+    from relsift.operators import corpus as C
+    rng = np.random.default_rng(0)
+    values = [(i, float(v)) for i, v in enumerate(rng.random(41))] + [(100, float("inf")), (101, 0.5), (102, float("inf"))]
+    dist = spark.createDataFrame(values, "id long, distance double")
+    rel = spark.createDataFrame([(i, 1 if i < 41 else (2 if i < 102 else 3)) for i, _ in values], "id long, median_relevance int")
+    got = {r["class"]: r for r in C.distance_by_class(dist, rel).collect()}
+    v = [x for i, x in values if i < 41]
+    assert [got[1][c] for c in ("q1", "median", "q3")] == [pytest_approx(np.quantile(v, q)) for q in (0.25, 0.5, 0.75)]
+    assert got[2]["median"] == 0.5 and got[2]["n"] == 2 and got[2]["n_finite"] == 1
+    assert got[3]["median"] is None and got[3]["n_finite"] == 0
+
+
+def pytest_approx(x):
+    import pytest
+    return pytest.approx(x)
+
+
+def test_pseudo_ids_follow_the_train_ids(spark):
+    from relsift.operators import augment as AU
+    pages = spark.createDataFrame([(1, "u", "<title>Q</title><li><a href=\"x\">skip</a></li><li><a href=\"x\">one</a></li><li><a href=\"x\">two</a></li>")],
+                                  "page_id long, url string, html string")
+    train = spark.createDataFrame([(AU.START_ID + 5, "q", "t", "d", 1, 0.0)],
+                                  "id long, query string, product_title string, product_description string, median_relevance int, relevance_variance double")
+    ids = [r["id"] for r in AU.augment_train(train, pages).select("id").collect()]
+    assert sorted(ids) == [AU.START_ID + 5, AU.START_ID + 6, AU.START_ID + 7]
+    assert AU.pseudo_label_rows(pages).agg({"id": "min"}).first()[0] == AU.START_ID

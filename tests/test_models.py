@@ -27,3 +27,26 @@ def test_forest_beats_majority_class(spark, sf_small):
     import __spark_entry__ as E
     q = E.queries()["kappa_scorer"](spark, sf_small).first()["qwk"]
     assert q > 0  # a constant (majority-class) prediction has kappa 0
+
+
+def test_level_one_probabilities_and_query_factor(spark):
+    from pyspark.ml.functions import vector_to_array  # noqa: F401
+    from relsift.operators import models as M
+    rows = [(i, float(i % 40), float(i % 3), float(i % 4)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, query_idx double, x double, label double")
+    data = M.factor(df, "query_idx", max_bins=16)
+    meta = data.schema["query_idx"].metadata["ml_attr"]
+    assert meta["type"] == "nominal" and meta["num_vals"] == 16
+    assert data.agg({"query_idx": "max"}).first()[0] == 15.0
+    data = M.assemble(data, ["query_idx", "x"])
+    model = M.gbm_ovr(2, 0.1, 3, max_bins=16).fit(data)
+    probs = M.class_probabilities(model.transform(data)).select("L1", "L2", "L3", "L4").collect()
+    assert all(abs(sum(r) - 1) < 1e-9 and min(r) >= 0 for r in probs)
+
+
+def test_scaled_columns_have_unit_variance(spark):
+    import numpy as np
+    from relsift.operators.vectors import standard_scale
+    df = spark.createDataFrame([(i, float(i * i), 1.0) for i in range(30)], "id long, a double, b double")
+    rows = standard_scale(df, df, ["a", "b"]).collect()
+    assert abs(np.var([r["a"] for r in rows]) - 1) < 1e-9 and {r["b"] for r in rows} == {0.0}
