@@ -149,8 +149,12 @@ def word_ngrams(tokens, n_min: int = 1, n_max: int = 3) -> Column:
 def char_shingles(c, q: int) -> Column:
     """Sliding character q-grams; a string shorter than q gives itself as one token."""
     s = _c(c)
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - q + 1),
-                        lambda i: F.substr(s, i, F.lit(q)))
+    a = chars(c)
+    n = F.greatest(F.size(a) - q + 1, F.lit(0))
+    # q shifted copies of the characters, joined side by side: linear in the length
+    grams = F.slice(a, F.lit(1), n)
+    for j in range(2, q + 1):
+        grams = F.zip_with(grams, F.slice(a, F.lit(j), n), lambda x, y: F.concat(x, y))
     return F.when(F.length(s) < q, F.array(s)).otherwise(grams)
 
 

@@ -1,11 +1,12 @@
 """Vocabulary, term counts and TF-IDF in long form ``(id, term, value)``.
 
-* Term counts per document are computed inside the row (sort + run-length
-  over the term array), so no shuffle is needed to count terms of one document.
+* Term counts are one hash aggregate by (id, term); a document's rows come from one
+  task, so the map-side combine folds them before the shuffle. Where the train rows are
+  part of the rows to weight, the counts are made once for both.
 * Document frequency is a hash aggregate by term (partial aggregation makes a
   term that is in every document cheap).
-* The idf table (one row per vocabulary term) is joined back with a
-  size-checked broadcast, else a shuffle join that AQE splits on skew.
+* The idf table (one row per vocabulary term) is joined back by Spark's choice:
+  broadcast by size, else a shuffle join that AQE splits on skew.
 * L2 norms use a window per document (documents are bounded in size).
 
 Weights follow the reference's vectorizer settings:
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import explode_rows
+from ..session import materialize
 
 # WordNet noun detachment rules (suffix -> replacement), used by
 # the default lemma rule [pin]; the longest matching suffix wins.
@@ -134,13 +136,18 @@ def n_docs_of(df: DataFrame) -> Column:
 
 def tfidf(train: DataFrame, apply_to: DataFrame, terms_fn, min_df: int = 1,
           max_df: float | int | None = None, idf: str = "smooth", sublinear: bool = False,
-          norm: str | None = None) -> DataFrame:
+          norm: str | None = None, nested: bool = False) -> DataFrame:
     """Fit the vocabulary and idf on ``train`` and weight the terms of ``apply_to``.
 
-    ``terms_fn`` maps a frame to its term-array column (e.g. char_wb n-grams)."""
-    tf_train = _tf_of(train, terms_fn)
+    ``terms_fn`` maps a frame to its term-array column (e.g. char_wb n-grams). With
+    ``nested`` the train rows are rows of ``apply_to`` (by ``id``) and terms are counted
+    once for both."""
+    if nested:
+        tf_all = materialize(_tf_of(apply_to, terms_fn))
+        tf_train = tf_all.join(train.select("id"), "id", "left_semi")
+    else:
+        tf_all, tf_train = _tf_of(apply_to, terms_fn), _tf_of(train, terms_fn)
     vocab = fit_vocabulary(tf_train, n_docs_of(train), min_df, max_df, idf)
-    tf_all = _tf_of(apply_to, terms_fn)
     return tfidf_transform(tf_all, vocab, sublinear, norm)
 
 
@@ -170,3 +177,11 @@ def token_table(df: DataFrame, tokens: Column, rule) -> DataFrame:
     distinct token (a table job), and callers join it back by token."""
     return (explode_rows(df, tokens, "token").distinct()
             .select("token", rule(F.col("token")).alias("form")))
+
+
+def join_forms(df: DataFrame, id_col: str, tokens: Column, table: DataFrame) -> DataFrame:
+    """``(id_col, pos, form)`` of every token. ``table`` is ``(token, form)``, made by
+    ``token_table`` or given by the user; a token that it lacks keeps its own form. The
+    token side is a plain scan, so Spark splits a frequent token's rows."""
+    rows = df.select(id_col, F.posexplode(tokens).alias("pos", "token"))
+    return rows.join(table, "token", "left").select(id_col, "pos", F.coalesce("form", "token").alias("form"))

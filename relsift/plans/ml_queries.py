@@ -27,7 +27,14 @@ from .registry import ORACLE, register, srel
 DIST_COLS = FE.DISTANCE_HEADER
 COVER_COLS = ["qInT", "qInD", "qInT_qWords", "qInT_ptWords", "qInT_pdWords", "ptw", "pdw"]
 BOW_COLS = ["qit", "qInT", "qw", "ptw", "pdw"]
-SEED = 65812
+SEED = 20240
+
+
+# Budgets of the registered queries (parameters of the operators).
+CV_SCHEMES = ((3, 3), (10, 1), (3, 10))  # folds, repeats
+JOINED = {"components": 200, "k": 30, "C": 9.0}
+SEARCH_SPACE = {"components": [60, 120, 180], "k": [10, 20, 30], "C": [1.0, 3.0, 9.0]}
+SEARCH_SETTINGS = 6
 
 
 def _labelled(spark, sf_dir):
@@ -155,11 +162,17 @@ def q_rf_overlap(spark, sf_dir):
     return _predict_test(M.random_forest(100, seed=SEED).fit(tr), te)
 
 
+def _query_factor(s, train):
+    return M.factor(V.index_categorical(train, s.select("id", "query"), "query").select("id", "query_idx"), "query_idx")
+
+
 def _distance_sets(spark, sf_dir, extra_cols=()):
     s, train, test = _labelled(spark, sf_dir)
     feats = FE.distance_features(s, outcome=None)
-    if extra_cols:
+    if extra_cols:  # the boosted models also have the query as a factor
         feats = feats.join(FE.query_title_coverage(s).select("id", *extra_cols), "id")
+        feats = feats.join(_query_factor(s, train), "id")
+        extra_cols = [*extra_cols, "query_idx"]
     cols = list(DIST_COLS) + list(extra_cols)
     tr = materialize(M.assemble(M.with_label(feats.join(train.select("id", "median_relevance"), "id")), cols))
     te = M.assemble(feats.join(test.select("id"), "id"), cols)
@@ -196,17 +209,16 @@ def _indicator_pca(train, allrows, col, prefix, n=250, lower=0, stop=ENGLISH_STO
     vocab = [r["term"] for r in C.top_terms(train, col, n, lower, stop).select("term").collect()]  # <= n
     wide = C.term_indicators(allrows, col, vocab, prefix, stop, long_form=False)
     cols = [c for c in wide.columns if c != "id"]
-    vec = M.assemble(wide, cols, "ind")
-    tr = vec.join(train.select("id"), "id")
-    full = PCA(k=len(cols), inputCol="ind", outputCol="_pc").fit(tr)
+    scaled = V.standard_scale(wide.join(train.select("id"), "id"), wide, cols)
+    vec = M.assemble(scaled, cols, "ind")
+    full = PCA(k=len(cols), inputCol="ind", outputCol="_pc").fit(vec.join(train.select("id"), "id"))
     ev = full.explainedVariance.toArray()
     k, acc = 0, 0.0
     for k, v in enumerate(ev, 1):  # smallest k reaching 95% of the variance [pin]
         acc += v
         if acc >= 0.95:
             break
-    pca = V.pca_reduce(tr, vec, k, "ind", f"{prefix}pca")
-    return pca.select("id", vector_to_array(f"{prefix}pca").alias(f"{prefix}pca")), k
+    return full.transform(vec).select("id", F.slice(vector_to_array("_pc"), 1, k).alias(f"{prefix}pca")), k
 
 
 @register("pca_reduce")
@@ -222,8 +234,7 @@ def q_gbm_bow(spark, sf_dir):
     cov = FE.query_title_coverage(s).select("id", *BOW_COLS)
     pt, kt = _indicator_pca(train, s, "product_title", "pt_")
     pd_, kd = _indicator_pca(train, s, "product_description", "pd_")
-    qi = V.index_categorical(train, s.select("id", "query"), "query")
-    feats = (cov.join(pt, "id").join(pd_, "id").join(qi.select("id", "query_idx"), "id")
+    feats = (cov.join(pt, "id").join(pd_, "id").join(_query_factor(s, train), "id")
              .select("id", *BOW_COLS, "query_idx", *[F.col("pt_pca")[i].alias(f"pt{i}") for i in range(kt)],
                      *[F.col("pd_pca")[i].alias(f"pd{i}") for i in range(kd)]))
     cols = [c for c in feats.columns if c != "id"]
@@ -246,14 +257,13 @@ def q_stacked(spark, sf_dir):
         p = m.transform(folds.where(F.col("fold") == f))
         oof = p if oof is None else oof.unionByName(p)
     test_p = M.gbm_ovr(6, 0.1, 30, SEED).fit(tr).transform(te)
-    # OneVsRest gives raw scores per class; use them as level-1 features
-    lvl1 = (oof.select("id", vector_to_array("rawPrediction").alias("r"))
-            .unionByName(test_p.select("id", vector_to_array("rawPrediction").alias("r"))))
+    names = [f"L{i + 1}" for i in range(4)]
+    lvl1 = M.class_probabilities(oof).select("id", *names).unionByName(M.class_probabilities(test_p).select("id", *names))
     vocab = [r["term"] for r in C.top_terms(train, "product_title", 150, 20).select("term").collect()]  # <= 150
     ind = C.term_indicators(s, "product_title", vocab, "pt_", long_form=False)
     icols = [c for c in ind.columns if c != "id"]
-    feats = lvl1.select("id", *[F.col("r")[i].alias(f"L{i + 1}") for i in range(4)]).join(ind, "id")
-    cols = [f"L{i + 1}" for i in range(4)] + icols
+    feats = lvl1.join(ind, "id")
+    cols = names + icols
     tr2 = M.assemble(M.with_label(feats.join(train.select("id", "median_relevance"), "id")), cols)
     te2 = M.assemble(feats.join(test.select("id"), "id"), cols)
     return _predict_test(M.multinomial(0.1).fit(tr2), te2)
@@ -264,12 +274,13 @@ def _svd_features(spark, sf_dir, k=180):
     applied to all rows."""
     s, train, test = _labelled(spark, sf_dir)
     w = materialize(TF.tfidf(train, s, lambda d: TF.char_wb_rows(d, T.combine_text("query", "product_title"), 1, 6),
-                             min_df=3, idf="smooth"))
+                             min_df=3, idf="smooth", nested=True))
     idx = materialize(V.index_terms(w))
     size = idx.agg(F.count(F.lit(1))).first()[0]
     docs = materialize(V.sparse_vectors(w, idx, size))
     n_train = docs.join(train.select("id"), "id").count()
-    k = max(1, min(k, size - 1, n_train - 1))
+    if k >= min(size, n_train):
+        raise ValueError(f"{k} components need more than {k} terms and train rows; there are {size} and {n_train}")
     proj, sv = V.truncated_svd(docs.join(train.select("id"), "id"), k, apply_to=docs)
     return s, train, test, proj, sv, k
 
@@ -296,12 +307,57 @@ def q_margin(spark, sf_dir):
     return _predict_test(M.margin_classifier(9.0, tr.count()).fit(tr), te)
 
 
+def _joined_features(spark, sf_dir, components: int, k: int):
+    """SVD components beside the ``k`` distance features of largest chi-squared (on
+    train), scaled on train: ``(train, test, component columns, features in rank order)``."""
+    s, train, test, proj, _, _ = _svd_features(spark, sf_dir, components)
+    dist = FE.distance_features(s, outcome=None)
+    long = V.unpivot(dist.join(train.select("id"), "id"), DIST_COLS).where("value >= 0")
+    labels = train.select("id", F.col("median_relevance").cast("int").alias("label"))
+    best = [r["feature"] for r in V.chi2_select(long, labels, k, NB.CLASSES).orderBy("rank").collect()]  # <= k
+    comps = [f"c{j}" for j in range(components)]
+    feats = (dist.select("id", *best).join(proj.select("id", *[F.col("svd")[j].alias(comps[j]) for j in range(components)]), "id", "left")
+             .na.fill(0.0))
+    scaled = V.standard_scale(feats.join(train.select("id"), "id"), feats, comps + best)
+    tr = materialize(M.with_label(scaled.join(train.select("id", "median_relevance"), "id")))
+    return tr, scaled.join(test.select("id"), "id"), comps, best
+
+
+@register("joined_pipeline")
+def q_joined(spark, sf_dir):
+    """char TF-IDF -> SVD, joined with chi-squared-selected distance features -> scale ->
+    one-vs-rest margin classifier; predictions of the test rows."""
+    tr, te, comps, best = _joined_features(spark, sf_dir, JOINED["components"], JOINED["k"])
+    cols = comps + best
+    model = M.margin_classifier(JOINED["C"], tr.count()).fit(M.assemble(tr, cols))
+    return _predict_test(model, M.assemble(te, cols))
+
+
+@register("joined_search")
+def q_joined_search(spark, sf_dir):
+    """Random search over the joined pipeline: settings scored by kappa over 3 folds, a
+    report of the 5 best with the best one marked for refitting. Components and selected
+    features are nested, so each setting takes a prefix of one fit."""
+    tr, _, comps, best = _joined_features(spark, sf_dir, max(SEARCH_SPACE["components"]), max(SEARCH_SPACE["k"]))
+    folds = materialize(_folds(tr))
+    n, rows = folds.count(), None
+    for st in M.random_settings(SEARCH_SPACE, SEARCH_SETTINGS, seed=42):
+        data = M.assemble(folds, comps[: st["components"]] + best[: st["k"]])
+        for f in range(1, 4):
+            model = M.margin_classifier(st["C"], n * 2 // 3).fit(data.where(F.col("fold") != f))
+            q = EV.qwk(model.transform(data.where(F.col("fold") == f)), "label", "prediction")
+            r = q.select(F.lit(",".join(f"{a}={st[a]}" for a in sorted(st))).alias("setting"), F.lit(f).alias("fold"), F.col("qwk").alias("score"))
+            rows = r if rows is None else rows.unionByName(r)
+    return EV.search_report(materialize(rows))
+
+
 # --- model selection ---------------------------------------------------------------------
 
 @register("kappa_scorer")
 def q_kappa_scorer(spark, sf_dir):
-    tr, _ = _overlap_sets(spark, sf_dir)
-    pred = M.random_forest(50, seed=SEED).fit(tr).transform(tr)
+    folds = _folds(_overlap_sets(spark, sf_dir)[0])
+    model = M.random_forest(50, seed=SEED).fit(folds.where("fold != 1"))
+    pred = model.transform(folds.where("fold = 1"))
     q = EV.KappaEvaluator(predictionCol="prediction", labelCol="label").evaluate(pred)
     return spark.createDataFrame([(float(q),)], "qwk double")
 
@@ -320,9 +376,11 @@ def q_repeated_cv(spark, sf_dir):
     rf = M.random_forest(30, seed=SEED)
     grid = M.param_grid(rf, [{"featureSubsetStrategy": "2"}])
     out = None
-    for r in range(2):
-        sc = M.grid_scores(M.cross_validate(rf, grid, _folds(tr, 3, seed=r)), grid).withColumn("rep", F.lit(r))
-        out = sc if out is None else out.unionByName(sc)
+    for k, repeats in CV_SCHEMES:
+        for r in range(repeats):
+            sc = M.grid_scores(M.cross_validate(rf, grid, _folds(tr, k, seed=r)), grid).withColumns(
+                {"folds": F.lit(k), "repeats": F.lit(repeats), "rep": F.lit(r)})
+            out = sc if out is None else out.unionByName(sc)
     return out
 
 
@@ -339,8 +397,8 @@ def q_random_search(spark, sf_dir):
 def q_search_report(spark, sf_dir):
     tr, _ = _overlap_sets(spark, sf_dir)
     rf = M.random_forest(30, seed=SEED)
-    grid = M.param_grid(rf, [{"maxDepth": d} for d in (3, 5, 8)])
-    folds = _folds(tr)
+    grid = M.param_grid(rf, [{"maxDepth": d} for d in (2, 3, 4, 5, 6, 8, 10)])
+    folds = materialize(_folds(tr))
     rows = None
     for f in range(1, 4):
         for pm in grid:

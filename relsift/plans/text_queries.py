@@ -214,6 +214,27 @@ def q_lemma_vocab(spark, sf_dir):
     return TF.token_table(docs(spark, sf_dir), T.word_tokens("text"), TF.lemma_rule)
 
 
+def _joined_forms(spark, sf_dir, rule):
+    """Every word token with the form that the vocabulary table gives it, joined back."""
+    d = docs(spark, sf_dir)
+    return TF.join_forms(d, "doc_id", T.word_tokens("text"), TF.token_table(d, T.word_tokens("text"), rule))
+
+
+def _forms_sql(form: str) -> str:
+    return (f"SELECT doc_id, pos, {form} AS form FROM (SELECT doc_id, cast(unnest(range(0, len(t))) AS integer) AS pos, "
+            f"unnest(t) AS token FROM (SELECT doc_id, {WORD_TOKS_SQL} AS t FROM documents))")
+
+
+@register("stem_tokens", _forms_sql(O.sql_stem("token")))
+def q_stem_tokens(spark, sf_dir):
+    return _joined_forms(spark, sf_dir, T.s_stem)
+
+
+@register("lemma_tokens", _forms_sql(sql_lemma("token")))
+def q_lemma_tokens(spark, sf_dir):
+    return _joined_forms(spark, sf_dir, TF.lemma_rule)
+
+
 # --- TF-IDF ------------------------------------------------------------------------------
 
 TRAIN_CTE = "train AS (SELECT * FROM srel WHERE median_relevance IS NOT NULL)"
@@ -254,7 +275,7 @@ def q_tfidf_smooth(spark, sf_dir):
     s = srel_shared(spark, sf_dir)
     train = s.where(F.col("median_relevance").isNotNull())
     return TF.tfidf(train, s, lambda d: TF.char_wb_rows(d, T.combine_text("query", "product_title"), 1, 6),
-                    min_df=3, idf="smooth")
+                    min_df=3, idf="smooth", nested=True)
 
 
 def _lemma_terms_sql() -> str:
@@ -278,7 +299,7 @@ def _word_tf_sql(src: str) -> str:
 def q_tfidf_word(spark, sf_dir):
     s = srel_shared(spark, sf_dir)
     train = s.where(F.col("median_relevance").isNotNull())
-    return TF.tfidf(train, s, _word_tfidf_terms, min_df=2, idf="smooth")
+    return TF.tfidf(train, s, _word_tfidf_terms, min_df=2, idf="smooth", nested=True)
 
 
 def _sublinear_terms(d):
@@ -298,7 +319,7 @@ def _sublinear_tf_sql(src: str) -> str:
 def q_tfidf_sublinear(spark, sf_dir):
     s = srel_shared(spark, sf_dir)
     train = s.where(F.col("median_relevance").isNotNull())
-    return TF.tfidf(train, s, _sublinear_terms, max_df=0.5, idf="smooth", sublinear=True, norm="l2")
+    return TF.tfidf(train, s, _sublinear_terms, max_df=0.5, idf="smooth", sublinear=True, norm="l2", nested=True)
 
 
 def _query_terms(d):
@@ -316,7 +337,7 @@ def _query_tf_sql(src: str) -> str:
     _query_tf_sql("srel"), _query_tf_sql("srel"), "SELECT count(*) AS n FROM srel", 1, "log2(ntrain.n / d.df)")))
 def q_tfidf_query(spark, sf_dir):
     s = srel(spark, sf_dir)
-    return TF.tfidf(s, s, _query_terms, min_df=1, idf="log2")
+    return TF.tfidf(s, s, _query_terms, min_df=1, idf="log2", nested=True)
 
 
 def _nb_bag_sql(src: str) -> str:
