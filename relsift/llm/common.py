@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -33,3 +34,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/relsift-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of the membership filter: 65,536 words of 64 bits, whatever the data.
+FILTER_BITS = 1 << 22
+
+
+def maybe_member(df: DataFrame, key: list[Column], members: DataFrame, member_key: list[Column], out: str) -> DataFrame:
+    """``df`` with a boolean column ``out``: where it is false, the key is surely not one
+    of ``members``; where it is true, a join has to tell.
+
+    It keeps rows without a partner out of a shuffle. The filter is a bitmap of a fixed
+    size, one row per word, so its broadcast has a fixed bound; with very many members it
+    lets more through, which costs time and changes no result."""
+    def spot(columns: list[Column]) -> Column:
+        return F.pmod(F.xxhash64(*columns, F.lit("member")), F.lit(FILTER_BITS))
+
+    bits = members.select(spot(member_key).alias("_spot"))
+    words = bits.groupBy(F.shiftright("_spot", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_spot & 63 as int))")).alias("_bits"))
+    here = F.expr("shiftright(_bits, cast(_at & 63 as int)) & 1")
+    return (df.withColumn("_at", spot(key)).join(F.broadcast(words), F.shiftright("_at", 6) == F.col("_word"), "left")
+            .withColumn(out, F.coalesce(here == 1, F.lit(False))).drop("_at", "_word", "_bits"))
