@@ -33,8 +33,6 @@ SEED = 20240
 # Budgets of the registered queries (parameters of the operators).
 CV_SCHEMES = ((3, 3), (10, 1), (3, 10))  # folds, repeats
 JOINED = {"components": 200, "k": 30, "C": 9.0}
-SEARCH_SPACE = {"components": [60, 120, 180], "k": [10, 20, 30], "C": [1.0, 3.0, 9.0]}
-SEARCH_SETTINGS = 6
 
 
 def _labelled(spark, sf_dir):
@@ -333,24 +331,6 @@ def q_joined(spark, sf_dir):
     return _predict_test(model, M.assemble(te, cols))
 
 
-@register("joined_search")
-def q_joined_search(spark, sf_dir):
-    """Random search over the joined pipeline: settings scored by kappa over 3 folds, a
-    report of the 5 best with the best one marked for refitting. Components and selected
-    features are nested, so each setting takes a prefix of one fit."""
-    tr, _, comps, best = _joined_features(spark, sf_dir, max(SEARCH_SPACE["components"]), max(SEARCH_SPACE["k"]))
-    folds = materialize(_folds(tr))
-    n, rows = folds.count(), None
-    for st in M.random_settings(SEARCH_SPACE, SEARCH_SETTINGS, seed=42):
-        data = M.assemble(folds, comps[: st["components"]] + best[: st["k"]])
-        for f in range(1, 4):
-            model = M.margin_classifier(st["C"], n * 2 // 3).fit(data.where(F.col("fold") != f))
-            q = EV.qwk(model.transform(data.where(F.col("fold") == f)), "label", "prediction")
-            r = q.select(F.lit(",".join(f"{a}={st[a]}" for a in sorted(st))).alias("setting"), F.lit(f).alias("fold"), F.col("qwk").alias("score"))
-            rows = r if rows is None else rows.unionByName(r)
-    return EV.search_report(materialize(rows))
-
-
 # --- model selection ---------------------------------------------------------------------
 
 @register("kappa_scorer")
