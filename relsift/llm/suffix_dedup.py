@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import maybe_member, written
 from .kernels import BLOCK_BYTES, column_bytes, prefix_hash, row_blocks, span_hash
 
 LENGTH = 400
@@ -343,7 +343,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = placed.groupBy(F.col("at.id").alias("_id"), F.col("at.text_hash").alias("_hash")).agg(
         F.collect_list(F.struct(F.col("at.start").alias("start"), "windows", "count", "split", "shard", *_SEGMENT)).alias("wanted"))
     # of rows that repeat an id and text one is enough; a segment given twice changes nothing
-    source = texts.join(wanted, (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "wanted")
+    near = maybe_member(texts, [F.col("id"), F.col("text_hash")], placed, [F.col("at.id"), F.col("at.text_hash")], "_maybe").where("_maybe")
+    source = near.join(wanted, (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "wanted")
 
     def copy_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,8 +382,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(row, *_keyed(docs), docs["text"].cast("string").alias("_text"))
     runs = runs.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "runs")
-    joined = (rows.join(runs, (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-              .select("_row", "_text", "runs"))
+    rows = maybe_member(rows, [F.col("id"), F.col("text_hash")], runs, [F.col("_id"), F.col("_hash")], "_maybe")
+    joined = rows.where("_maybe").join(runs, (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select("_row", "_text", "runs")
+    joined = joined.unionByName(rows.where("not _maybe").select("_row", "_text", F.lit(None).cast("array<int>").alias("runs")))
     row_type = joined.schema["_row"].dataType.simpleString()
     schema = f"_row {row_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<int>"
 
