@@ -1,10 +1,11 @@
 """Licence scan by sentence rules. DataFrame functions only.
 
-A text is cut into sentences (at line ends and after ``. ! ?`` before white space),
-each normalised to lower-case letters and digits with single spaces. Known licence
-sentences map to identifiers through an equi-join; a document's identifiers in text
-order are matched against rules: ordered identifier sequences, between whose members
-other sentences may stand.
+A text is cut into pieces (at line ends, and after ``. ! ? :`` before white space), each
+normalised to lower-case letters and digits. Neighbouring pieces, also over blank lines
+and comment marks, whose words together are a known licence sentence are that sentence,
+so a licence may be wrapped at any column. A document's identifiers in text order are
+matched against rules: ordered identifier sequences, between whose members other
+sentences may stand.
 """
 
 from __future__ import annotations
@@ -59,13 +60,8 @@ RULES = (
 SENTENCE_END = r"(?:[\n\r]+|(?<=[.!?])[ \t]+)+"
 
 
-def normalised(col):
-    """Lower-case ASCII letters and digits, other runs as one space."""
-    return F.trim(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " "))
-
-
 def normalise_sentence(text: str) -> str:
-    """The same normalisation for the (ASCII) rule texts."""
+    """Lower-case ASCII letters and digits, other runs as one space."""
     return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
 
 
@@ -79,24 +75,46 @@ def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     return out
 
 
+def known_pattern(sentences: dict[str, str] = SENTENCES) -> str:
+    """Regular expression over lower-case text: any known sentence's words, whatever
+    stands between them."""
+    words = "|".join("[^a-z0-9]++".join(s.split()) for s in known_sentences(sentences))
+    return f"(?:^|[^a-z0-9])(?:{words})(?![a-z0-9])"
+
+
+def marked_pieces(text, sentences: dict[str, str] = SENTENCES):
+    """The text's words, pieces apart by LF (a colon's by tab), with ``<identifier>`` in
+    place of a known sentence's words. Line feeds inside a sentence stay behind its
+    identifier, so the pieces keep their numbers. Longer sentences go first, and what
+    lies inside one counts for nothing else."""
+    col = F.regexp_replace(F.translate(F.lower(text), "\t", " "), SENTENCE_END, "\n")
+    col = F.regexp_replace(F.regexp_replace(col, ": +", "\t"), "[^a-z0-9\n\t]+", " ")
+    col = F.concat(F.lit("\t"), col, F.lit("\t"))
+    for sentence, name in sorted(known_sentences(sentences).items(), key=lambda x: (-len(x[0]), x)):
+        words = sentence.split()
+        gaps = "".join(f"${i}" for i in range(1, len(words)))
+        col = F.regexp_replace(col, "(?<=[\n\t] ?)" + "([ \n\t]++)".join(words) + "(?= ?[\n\t])", f"<{name}>{gaps}")
+    return col
+
+
 def scan_licenses(spark: SparkSession, docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """``doc_id, n_sentences, first_pos, last_pos, sentence_ids, licenses`` of each
     document with at least one known sentence.
 
-    ``sentence_ids`` lists identifiers in text order and ``licenses`` the matched
-    rules' names, distinct and sorted; both are comma-joined, ``licenses`` is '' when
-    known sentences stand there but no rule is complete. Null and empty texts give no
-    row; equal sentences count each time; rows that share a doc_id are one document
-    whose sentences are merged by position. The rule table is a fixed list, so its
-    broadcast has a fixed size."""
-    known = spark.createDataFrame([(s, i) for s, i in sorted(known_sentences(sentences).items())], "sentence string, sentence_id string")
-    lengths = sorted({len(s) for s in known_sentences(sentences)})
-    cut = docs.select("doc_id", F.posexplode(F.split("text", SENTENCE_END)).alias("pos", "raw"))
-    # normalising never lengthens a sentence, so shorter ones cannot be known
-    cut = cut.where(F.length("raw") >= lengths[0]).select("doc_id", "pos", normalised(F.col("raw")).alias("sentence"))
-    hits = cut.join(F.broadcast(known), "sentence").select("doc_id", "pos", "sentence_id")
-    seq = (hits.groupBy("doc_id")
-           .agg(F.array_sort(F.collect_list(F.struct("pos", "sentence_id"))).alias("h"))
+    Positions number the pieces between line ends and after ``. ! ?``; a sentence has its
+    first piece's. ``sentence_ids`` lists identifiers in text order and ``licenses`` the
+    matched rules' names, distinct and sorted; both are comma-joined, ``licenses`` is ''
+    when known sentences stand there but no rule is complete. Null and empty texts give
+    no row; equal sentences count each time; rows that share a doc_id are one document
+    whose sentences are merged by position, and each row without an id is one of its own."""
+    # texts without the words of a known sentence go before anything is cut
+    some = docs.select("doc_id", "text").where(F.lower("text").rlike(known_pattern(sentences)))
+    some = some.select("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_row"), "text")
+    pieces = some.select("doc_id", "_row", F.posexplode(F.split(marked_pieces(F.col("text"), sentences), "\n")).alias("pos", "piece"))
+    names_in = F.regexp_extract_all("piece", F.lit("<([^>]+)>"), F.lit(1))
+    hits = pieces.where(F.col("piece").contains("<")).select("doc_id", "_row", "pos", F.posexplode(names_in).alias("nth", "sentence_id"))
+    seq = (hits.groupBy("doc_id", "_row")
+           .agg(F.array_sort(F.collect_list(F.struct("pos", "nth", "sentence_id"))).alias("h"))
            .select("doc_id", "h", F.array_join(F.col("h.sentence_id"), ",").alias("sentence_ids")))
     padded = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     names = [F.when(padded.rlike(rule_pattern(ids)), F.lit(name)) for name, ids in rules]

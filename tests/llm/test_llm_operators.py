@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables and clashing colu
 
 import hashlib
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -424,6 +425,30 @@ def test_license_rules(spark):
     assert license_scan.scan_licenses(spark, documents(spark, [mit, mit], ids=[1, 1])).first()["n_sentences"] == 4
 
 
+def test_license_wrapped_headers_and_null_ids(spark):
+    known = license_scan.SENTENCES
+
+    def lay(parts, mark="", width=72, first=""):
+        return "\n".join(f"{mark}{line}".rstrip() for p in parts for line in [*textwrap.wrap(first + p, width), ""])
+
+    mit = [known["mit-1"], known["mit-2"]]
+    apache = ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n"
+              "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law")
+    gpl = [known["gpl-header-1"], "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.  " + known["gpl-header-2"]]
+    bsd = [known["bsd-1"], *(f"{i}. {known[k]}" for i, k in ((1, "bsd-2"), (3, "bsd-3")))]
+    texts = [lay(mit), lay(mit, " * "), apache, "# " + apache.replace("\n", "\n# "), lay(gpl, "// "), lay(bsd, "-- ", 70),
+             " ".join(mit), lay([" ".join(mit)], "; ", 40), "a\r\n" + lay(mit, width=20).replace("\n", "\r\n"),
+             "Licensed under the Apache License, Version 2.0\n(the \"License\"); you may not use this file except in compliance with the License.",
+             "Released under the MIT\nLicenses.", "We say that it is Released\nunder the MIT License.", "End.\nReleased\nunder the MIT License.\n\nAll rights\nreserved."]
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(spark, documents(spark, texts)).collect()}
+    assert {i: r["licenses"] for i, r in rows.items()} == {0: "MIT", 1: "MIT", 2: "Apache-2.0", 3: "Apache-2.0", 4: "GPL-3.0", 5: "BSD-2-Clause,BSD-3-Clause",
+                                                         6: "MIT", 7: "MIT", 8: "MIT", 9: "", 12: "MIT"}
+    assert rows[5]["sentence_ids"] == "bsd-1,bsd-2,bsd-3" and rows[9]["sentence_ids"] == "apache2-header-1"
+    assert (rows[12]["first_pos"], rows[12]["last_pos"], rows[12]["sentence_ids"]) == (1, 3, "mit-released,all-rights")
+    none = license_scan.scan_licenses(spark, documents(spark, ["All rights reserved.", "SPDX-License-Identifier: MIT"], ids=[None, None])).collect()
+    assert sorted((r["doc_id"], r["n_sentences"], r["licenses"]) for r in none) == [(None, 1, ""), (None, 1, "MIT")]
+
+
 # -- 10: URLs -----------------------------------------------------------------------------
 
 def test_url_filter_as_of(spark):
