@@ -327,6 +327,22 @@ def test_ngram_join_edges(spark):
     assert ngram_join.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [2, 256])
+def test_ngram_join_near_copies_without_ids(spark, monkeypatch, rows):
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", rows)
+    w = [f"t{i}" for i in range(200)]
+    near = lambda k: " ".join(w[k:k + 100])
+    other = [f"o{i}" for i in range(60)]
+    # 5 and 9 link only through the null row between; three null rows link with each other alone
+    texts = [near(0), near(8), near(16), " ".join(other), " ".join(other), " ".join(other[:-1]), "one text by itself", "one text by itself", "yet another"]
+    docs = documents(spark, texts, ids=[9, None, 5, None, None, None, None, None, None])
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == {(9, 5): 1, (None, 5): 1, (5, 5): 1, (None, None): 6}
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()]
+    groups = [{(5, near(16))}, {(None, texts[3]), (None, texts[5])}, {(None, texts[6])}, {(None, texts[8])}]
+    assert len(kept) == 4 and all(len(g & set(kept)) == 1 for g in groups)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5)]
