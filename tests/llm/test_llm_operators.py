@@ -343,6 +343,12 @@ def test_ngram_join_near_copies_without_ids(spark, monkeypatch, rows):
     assert len(kept) == 4 and all(len(g & set(kept)) == 1 for g in groups)
 
 
+def test_keep_one_with_two_texts_under_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = documents(spark, [a, b, b + " x", b], ids=[7, 7, 3, 7])
+    assert sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()) == [(3, b + " x"), (7, a)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5)]
