@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language_id, license_scan, ngram_join, pivot_topk, sentencepiece_codec, source_mix, suffix_dedup, toxicity, url_filter
+from . import hnsw, language_id, license_scan, ngram_join, pivot_topk, prefix_trie, sentencepiece_codec, source_mix, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,3 +200,34 @@ FROM (SELECT DISTINCT * FROM cap) cap LEFT JOIN best ON best.page_id = cap.page_
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(captures(pages), list_entries(pages))
+
+
+#: CRC32 of a decimal number's text, bit by bit.
+_CRC32_SQL = """xor(list_reduce(flatten(list_transform(string_split({x}::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+@register("op12_prefix_trie", rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, {WORD_COUNT_SQL.replace('text', "coalesce(text, '')")} AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, {_CRC32_SQL.format(x="conv_id")} % 4 AS h, conv_id - conv_id % 20 AS base FROM t),
+r AS (SELECT c.conv_id, 0 AS part, t.pos, role, text, words FROM c JOIN t ON t.conv_id = base AND t.pos <= h
+  UNION ALL SELECT c.conv_id, 1, t.pos, role, text, words FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, words,
+    md5(length(role) || ':' || role || text) AS turn FROM r),
+p AS (SELECT conv_id, d, words, md5(string_agg(turn, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS path FROM o
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+len AS (SELECT conv_id, max(d) AS n FROM p GROUP BY conv_id),
+n AS (SELECT path, min(conv_id) AS conv_id, min(d) AS depth, min(words) AS words, count(*) AS n_convs FROM p GROUP BY path),
+up AS (SELECT n.path, a.path AS above FROM n JOIN p a ON a.conv_id = n.conv_id AND a.d = n.depth - 1),
+kids AS (SELECT above AS path, count(*) AS n_children FROM up GROUP BY above),
+full_n AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+below AS (SELECT a.path, sum((n.n_children = 0)::INT) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM full_n n JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.depth GROUP BY a.path),
+ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p JOIN len USING (conv_id) WHERE d = len.n GROUP BY path)
+SELECT f.conv_id, f.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_n f JOIN below USING (path) LEFT JOIN ends USING (path) LEFT JOIN up USING (path) LEFT JOIN n q ON q.path = up.above""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
