@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language_id, license_scan, ngram_join, pivot_topk, prefix_trie, sentencepiece_codec, source_mix, suffix_dedup, toxicity, url_filter
+from . import hnsw, language_id, license_scan, merkle_fingerprint, ngram_join, pivot_topk, prefix_trie, sentencepiece_codec, source_mix, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -202,6 +202,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(captures(pages), list_entries(pages))
 
 
+@register("op11_merkle_fingerprint")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 #: CRC32 of a decimal number's text, bit by bit.
 _CRC32_SQL = """xor(list_reduce(flatten(list_transform(string_split({x}::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
     lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT)"""
