@@ -3,7 +3,7 @@
 A text is cut, without losing a character, into paragraphs (at line ends), paragraphs
 into runs of words, and paragraphs are gathered into sections. Runs end after a word
 whose CRC32 is divisible by ``RUN`` (by 1 in a paragraph of fewer than ``SHORT`` words, so
-every word is a run there), sections at an empty line or after a paragraph whose digest is
+every word is a run there) or after ``MOST_WORDS`` words, sections at an empty line or after a paragraph whose digest is
 divisible by ``SECTION``; so an edit moves no cut but those beside it. A word of more than
 ``WORD`` characters is cut into pieces of that length.
 
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 RUN = 4
 SHORT = 8
 SECTION = 8
-WORD = 32
+WORD = 12
+MOST_WORDS = 8
 ROOT_DIGITS = 32
 RUN_DIGITS = 8
 
@@ -47,12 +48,13 @@ def runs(paragraph: str) -> list[str]:
     found = _WORD.findall(paragraph)
     if len(found) < SHORT:
         return found
-    out, start, at = [], 0, 0
+    out, start, at, words = [], 0, 0, 0
     for word in found:
         at += len(word)
-        if crc32(word.encode("utf-8", "surrogatepass")) % RUN == 0:
+        words += 1
+        if words == MOST_WORDS or crc32(word.encode("utf-8", "surrogatepass")) % RUN == 0:
             out.append(paragraph[start:at])
-            start = at
+            start, words = at, 0
     if start < at:
         out.append(paragraph[start:])
     return out
