@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUN = 4
-SHORT = 8
+SHORT = 16
 SECTION = 8
 WORD = 12
 MOST_WORDS = 8

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language_id, license_scan, merkle_fingerprint, ngram_join, pivot_topk, prefix_trie, sentencepiece_codec, source_mix, suffix_dedup, toxicity, url_filter
+from . import collocations, hnsw, language_id, license_scan, merkle_fingerprint, ngram_join, pivot_topk, prefix_trie, sentencepiece_codec, source_mix, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -236,3 +236,25 @@ SELECT f.conv_id, f.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_con
 FROM full_n f JOIN below USING (path) LEFT JOIN ends USING (path) LEFT JOIN up USING (path) LEFT JOIN n q ON q.path = up.above""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@register("op13_collocations", rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS phrases
+  FROM w, range(1, {collocations.LONGEST + 1}) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, unnest(phrases) AS phrase FROM g) GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= {collocations.LEAST}),
+cut AS (SELECT lang, k, phrase, a, m, array_to_string(w[1:m], ' ') AS first, array_to_string(w[m + 1:], ' ') AS rest FROM c, range(1, 5) r(m) WHERE m < k),
+scored AS (SELECT cut.*, x.a AS l, y.a AS r, n, (1000::HUGEINT * cut.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first JOIN f y ON y.lang = cut.lang AND y.phrase = rest JOIN n ON n.lang = cut.lang),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) AS pick FROM scored),
+inside AS (SELECT DISTINCT c.lang, array_to_string(c.w[i:i + j - 1], ' ') AS phrase, c.a
+  FROM c, range(1, 5) s(i), range(2, 5) e(j) WHERE j < c.k AND i + j - 1 <= c.k),
+kept AS (SELECT s.* FROM weakest s WHERE pick = 1 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100 * i.a >= 100 * s.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= {collocations.TOP}""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
