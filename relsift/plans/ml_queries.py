@@ -16,6 +16,8 @@ from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import models as M
 from ..operators import naive_bayes as NB
+from ..operators import search as SE
+from ..operators import svd as SVD
 from ..operators import tfidf as TF
 from ..operators import vectors as V
 from ..functions import text as T
@@ -31,8 +33,9 @@ SEED = 20240
 
 
 # Budgets of the registered queries (parameters of the operators).
-CV_SCHEMES = ((3, 3), (10, 1), (3, 10))  # folds, repeats
+CV_SCHEMES = ((3, 3), (10, 1), (3, 1), (3, 10))  # folds, repeats
 JOINED = {"components": 200, "k": 30, "C": 9.0}
+FOURIER = 512
 
 
 def _labelled(spark, sf_dir):
@@ -161,7 +164,12 @@ def q_rf_overlap(spark, sf_dir):
 
 
 def _query_factor(s, train):
-    return M.factor(V.index_categorical(train, s.select("id", "query"), "query").select("id", "query_idx"), "query_idx")
+    """The query as numbers, out-of-fold on the train rows."""
+    folds = EV.stratified_folds(train.select("id", F.col("median_relevance").alias("label")), label="label", k=5, seed=SEED)
+    return SE.target_statistics(s.select("id", "query"), folds, "query", NB.CLASSES)
+
+
+QUERY_COLS = ["ts_n", *[f"ts_{c}" for c in NB.CLASSES]]
 
 
 def _distance_sets(spark, sf_dir, extra_cols=()):
@@ -170,7 +178,7 @@ def _distance_sets(spark, sf_dir, extra_cols=()):
     if extra_cols:  # the boosted models also have the query as a factor
         feats = feats.join(FE.query_title_coverage(s).select("id", *extra_cols), "id")
         feats = feats.join(_query_factor(s, train), "id")
-        extra_cols = [*extra_cols, "query_idx"]
+        extra_cols = [*extra_cols, *QUERY_COLS]
     cols = list(DIST_COLS) + list(extra_cols)
     tr = materialize(M.assemble(M.with_label(feats.join(train.select("id", "median_relevance"), "id")), cols))
     te = M.assemble(feats.join(test.select("id"), "id"), cols)
@@ -233,7 +241,7 @@ def q_gbm_bow(spark, sf_dir):
     pt, kt = _indicator_pca(train, s, "product_title", "pt_")
     pd_, kd = _indicator_pca(train, s, "product_description", "pd_")
     feats = (cov.join(pt, "id").join(pd_, "id").join(_query_factor(s, train), "id")
-             .select("id", *BOW_COLS, "query_idx", *[F.col("pt_pca")[i].alias(f"pt{i}") for i in range(kt)],
+             .select("id", *BOW_COLS, *QUERY_COLS, *[F.col("pt_pca")[i].alias(f"pt{i}") for i in range(kt)],
                      *[F.col("pd_pca")[i].alias(f"pd{i}") for i in range(kd)]))
     cols = [c for c in feats.columns if c != "id"]
     tr = materialize(M.assemble(M.with_label(feats.join(train.select("id", "median_relevance"), "id")), cols))
@@ -267,19 +275,22 @@ def q_stacked(spark, sf_dir):
     return _predict_test(M.multinomial(0.1).fit(tr2), te2)
 
 
+def _char_weights(train, rows, ngrams=(1, 6), min_df=3):
+    """char_wb TF-IDF of query and title, fit on ``train`` and applied to ``rows``."""
+    return materialize(TF.tfidf(train, rows, lambda d: TF.char_wb_rows(d, T.combine_text("query", "product_title"), *ngrams),
+                                min_df=min_df, idf="smooth", nested=True))
+
+
 def _svd_features(spark, sf_dir, k=180):
-    """char_wb TF-IDF (fit on train) -> sparse vectors -> SVD fitted on train rows,
-    applied to all rows."""
+    """char_wb TF-IDF (fit on train) -> SVD fitted on train rows, applied to all rows."""
     s, train, test = _labelled(spark, sf_dir)
-    w = materialize(TF.tfidf(train, s, lambda d: TF.char_wb_rows(d, T.combine_text("query", "product_title"), 1, 6),
-                             min_df=3, idf="smooth", nested=True))
-    idx = materialize(V.index_terms(w))
-    size = idx.agg(F.count(F.lit(1))).first()[0]
-    docs = materialize(V.sparse_vectors(w, idx, size))
-    n_train = docs.join(train.select("id"), "id").count()
+    w = _char_weights(train, s)
+    fitted = w.join(train.select("id"), "id")
+    size = w.select("term").distinct().count()
+    n_train = fitted.select("id").distinct().count()
     if k >= min(size, n_train):
         raise ValueError(f"{k} components need more than {k} terms and train rows; there are {size} and {n_train}")
-    proj, sv = V.truncated_svd(docs.join(train.select("id"), "id"), k, apply_to=docs)
+    proj, sv = SVD.truncated_svd(fitted, k, apply_to=w)
     return s, train, test, proj, sv, k
 
 
@@ -292,7 +303,7 @@ def q_svd(spark, sf_dir):
 @register("margin_classifier")
 def q_margin(spark, sf_dir):
     """char n-gram TF-IDF -> SVD (fit on train) -> + rating range -> scale (fit on
-    train) -> one-vs-rest linear margin classifier."""
+    train) -> random Fourier features of a Gaussian kernel -> one-vs-rest margin classifier."""
     s, train, test, proj, _, k = _svd_features(spark, sf_dir)
     comps = [f"c{j}" for j in range(k)]
     mm = FE.query_minmax_rating(s)
@@ -300,35 +311,34 @@ def q_margin(spark, sf_dir):
              .join(mm, "id", "left").na.fill(0.0))
     cols = comps + ["minr", "maxr"]
     scaled = V.standard_scale(feats.join(train.select("id"), "id"), feats, cols)
-    tr = materialize(M.assemble(M.with_label(scaled.join(train.select("id", "median_relevance"), "id")), cols))
-    te = M.assemble(scaled.join(test.select("id"), "id"), cols)
+    rows = M.random_fourier(M.assemble(scaled, cols), len(cols), FOURIER)
+    tr = materialize(M.with_label(rows.join(train.select("id", "median_relevance"), "id")).select("id", "label", "features"))
+    te = rows.join(test.select("id"), "id")
     return _predict_test(M.margin_classifier(9.0, tr.count()).fit(tr), te)
 
 
-def _joined_features(spark, sf_dir, components: int, k: int):
+def _joined_features(train, rows, dist, proj, components: int, k: int):
     """SVD components beside the ``k`` distance features of largest chi-squared (on
-    train), scaled on train: ``(train, test, component columns, features in rank order)``."""
-    s, train, test, proj, _, _ = _svd_features(spark, sf_dir, components)
-    dist = FE.distance_features(s, outcome=None)
+    train), scaled on train: ``(scaled rows, component columns, features in rank order)``."""
     long = V.unpivot(dist.join(train.select("id"), "id"), DIST_COLS).where("value >= 0")
     labels = train.select("id", F.col("median_relevance").cast("int").alias("label"))
     best = [r["feature"] for r in V.chi2_select(long, labels, k, NB.CLASSES).orderBy("rank").collect()]  # <= k
     comps = [f"c{j}" for j in range(components)]
-    feats = (dist.select("id", *best).join(proj.select("id", *[F.col("svd")[j].alias(comps[j]) for j in range(components)]), "id", "left")
-             .na.fill(0.0))
-    scaled = V.standard_scale(feats.join(train.select("id"), "id"), feats, comps + best)
-    tr = materialize(M.with_label(scaled.join(train.select("id", "median_relevance"), "id")))
-    return tr, scaled.join(test.select("id"), "id"), comps, best
+    feats = (dist.select("id", *best).join(rows.select("id"), "id")
+             .join(proj.select("id", *[F.get("svd", F.lit(j)).alias(comps[j]) for j in range(components)]), "id", "left").na.fill(0.0))
+    return V.standard_scale(feats.join(train.select("id"), "id"), feats, comps + best), comps, best
 
 
 @register("joined_pipeline")
 def q_joined(spark, sf_dir):
     """char TF-IDF -> SVD, joined with chi-squared-selected distance features -> scale ->
     one-vs-rest margin classifier; predictions of the test rows."""
-    tr, te, comps, best = _joined_features(spark, sf_dir, JOINED["components"], JOINED["k"])
+    s, train, test, proj, _, _ = _svd_features(spark, sf_dir, JOINED["components"])
+    scaled, comps, best = _joined_features(train, s, FE.distance_features(s, outcome=None), proj, JOINED["components"], JOINED["k"])
     cols = comps + best
+    tr = materialize(M.with_label(scaled.join(train.select("id", "median_relevance"), "id")))
     model = M.margin_classifier(JOINED["C"], tr.count()).fit(M.assemble(tr, cols))
-    return _predict_test(model, M.assemble(te, cols))
+    return _predict_test(model, M.assemble(scaled.join(test.select("id"), "id"), cols))
 
 
 # --- model selection ---------------------------------------------------------------------
@@ -342,49 +352,95 @@ def q_kappa_scorer(spark, sf_dir):
     return spark.createDataFrame([(float(q),)], "qwk double")
 
 
+def _forest(setting, train):
+    return M.random_forest(setting.get("trees", 30), setting.get("mtry", "auto"), SEED, setting.get("depth", 12)).fit(train)
+
+
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
-    tr, _ = _overlap_sets(spark, sf_dir)
-    rf = M.random_forest(30, seed=SEED)
-    grid = M.param_grid(rf, [{"featureSubsetStrategy": str(m)} for m in range(1, 5)])
-    return M.grid_scores(M.cross_validate(rf, grid, _folds(tr)), grid)
+    """Forests on the 70 distance features, ``mtry`` 13 to 20, three folds."""
+    tr, _, _ = _distance_sets(spark, sf_dir)
+    settings = [{"mtry": m, "trees": 50} for m in range(13, 21)]
+    scores = SE.fold_scores(SE.fold_predictions(_forest, settings, materialize(_folds(tr)), values=(1, 2, 3)))
+    return scores.groupBy("setting").agg(F.avg("score").alias("score"))
 
 
 @register("repeated_cv")
 def q_repeated_cv(spark, sf_dir):
+    """Score of every fold of every repeat of the four schemes, all scored in one pass."""
     tr, _ = _overlap_sets(spark, sf_dir)
-    rf = M.random_forest(30, seed=SEED)
-    grid = M.param_grid(rf, [{"featureSubsetStrategy": "2"}])
+    tr = tr.select("id", "label", "features")
     out = None
     for k, repeats in CV_SCHEMES:
         for r in range(repeats):
-            sc = M.grid_scores(M.cross_validate(rf, grid, _folds(tr, k, seed=r)), grid).withColumns(
+            p = SE.fold_predictions(_forest, [{"mtry": 2}], materialize(_folds(tr, k, seed=r)), values=range(1, k + 1)).withColumns(
                 {"folds": F.lit(k), "repeats": F.lit(repeats), "rep": F.lit(r)})
-            out = sc if out is None else out.unionByName(sc)
-    return out
+            out = p if out is None else out.unionByName(p)
+    return SE.fold_scores(out, ["folds", "repeats", "rep", "setting", "fold"]).drop("n")
+
+
+#: Settings of the joined pipeline that a search draws from.
+SEARCH_SPACE = {"ngrams": [(1, 4), (1, 5), (1, 6)], "min_df": list(range(3, 10)), "components": list(range(100, 250, 5)),
+                "k": list(range(10, len(DIST_COLS), 5)), "C": list(range(4, 10))}
+
+
+def joined_search(spark, sf_dir, n: int, folds: int = 3, seed: int = 42, space=None):
+    """Random search of ``n`` settings over the joined pipeline: ``(predictions of the test
+    rows by the best setting, fitted again on all train rows, scores, best)``. On a fold,
+    settings with the same n-grams and ``min_df`` share TF-IDF and one SVD, whose first
+    components serve those that ask for fewer."""
+    space = space or SEARCH_SPACE
+    s, train, test = _labelled(spark, sf_dir)
+    s = materialize(s)
+    train, test = s.where(F.col("median_relevance").isNotNull()), s.where(F.col("median_relevance").isNull())
+    dist = materialize(FE.distance_features(s, outcome=None))
+    fold = materialize(EV.stratified_folds(train, k=folds, seed=seed).select("id", "fold"))
+
+    def projection(fit_rows, rows, prefix, some):
+        (ngrams, min_df), most = prefix, max(x["components"] for x in some)
+        weights = _char_weights(fit_rows, rows, ngrams, min_df)
+        return SVD.truncated_svd(weights.join(fit_rows.select("id"), "id"), most, apply_to=weights, iterations=2)
+
+    def fitted(fit_rows, rows, projected, setting):
+        proj, values = projected
+        scaled, comps, best = _joined_features(fit_rows, rows, dist, proj, min(setting["components"], len(values)), setting["k"])
+        data = M.assemble(scaled, comps + best).select("id", "features")
+        tr = materialize(M.with_label(data.join(fit_rows.select("id", "median_relevance"), "id")).select("id", "label", "features"))
+        return M.margin_classifier(float(setting["C"]), tr.count()).fit(tr), data
+
+    def prepare(prefix, some, f):
+        fit_rows = train.join(fold.where(F.col("fold") != f).select("id"), "id")
+        return fit_rows, fold.where(F.col("fold") == f).select("id"), projection(fit_rows, train, prefix, some)
+
+    def score(prepared, setting):
+        fit_rows, held, projected = prepared
+        model, data = fitted(fit_rows, train, projected, setting)
+        rows = M.with_label(data.join(held, "id").join(train.select("id", "median_relevance"), "id"))
+        return EV.KappaEvaluator(predictionCol="prediction", labelCol="label").evaluate(model.transform(rows))
+
+    settings = M.random_settings(space, n, seed)
+    prefix_of = lambda x: (tuple(x["ngrams"]), x["min_df"])
+    scores, best = SE.pipeline_search(settings, range(1, folds + 1), prefix_of, prepare, score)
+    model, data = fitted(train, s, projection(train, s, prefix_of(best), [best]), best)
+    return _predict_test(model, data.join(test.select("id"), "id")), scores, best
+
+
+#: Settings that the registered search draws; 1, 250 and 3,000 are other sizes in use.
+SEARCH_N = 2
 
 
 @register("random_search")
 def q_random_search(spark, sf_dir):
-    tr, _ = _overlap_sets(spark, sf_dir)
-    rf = M.random_forest(30, seed=SEED)
-    settings = M.random_settings({"numTrees": [10, 20, 30], "maxDepth": [3, 5, 8]}, 3, seed=42)
-    grid = M.param_grid(rf, settings)
-    return M.grid_scores(M.cross_validate(rf, grid, _folds(tr)), grid)
+    """Predictions of the best of ``SEARCH_N`` settings of the joined pipeline, with the
+    setting and its mean score over the folds."""
+    pred, scores, best = joined_search(spark, sf_dir, SEARCH_N)
+    got = [r["score"] for r in scores if r["setting"] is best]
+    return pred.withColumns({"setting": F.lit(SE.setting_name(best)), "score": F.lit(sum(got) / len(got)), "tried": F.lit(len({r["name"] for r in scores}))})
 
 
 @register("search_report")
 def q_search_report(spark, sf_dir):
     tr, _ = _overlap_sets(spark, sf_dir)
-    rf = M.random_forest(30, seed=SEED)
-    grid = M.param_grid(rf, [{"maxDepth": d} for d in (2, 3, 4, 5, 6, 8, 10)])
-    folds = materialize(_folds(tr))
-    rows = None
-    for f in range(1, 4):
-        for pm in grid:
-            model = rf.copy(pm).fit(folds.where(F.col("fold") != f))
-            q = EV.qwk(model.transform(folds.where(F.col("fold") == f)), "label", "prediction")
-            setting = ",".join(f"{p.name}={v}" for p, v in pm.items())
-            r = q.select(F.lit(setting).alias("setting"), F.lit(f).alias("fold"), F.col("qwk").alias("score"))
-            rows = r if rows is None else rows.unionByName(r)
-    return EV.search_report(rows)
+    settings = [{"depth": d} for d in (2, 3, 4, 5, 6, 8, 10)]
+    folds = materialize(_folds(tr.select("id", "label", "features")))
+    return EV.search_report(SE.fold_scores(SE.fold_predictions(_forest, settings, folds, values=(1, 2, 3))))

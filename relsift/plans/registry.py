@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from ..operators import features as FE
 from ..session import materialize
@@ -23,9 +23,13 @@ ORACLE: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (and fold -0.0 into 0.0) for hash comparison."""
+    """Round every double column and element of a double array (and fold -0.0 into 0.0)
+    for hash comparison. NaN in an array is how a vector holds a null; it becomes one."""
     cols = []
     for f in df.schema.fields:
+        if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, (DoubleType, FloatType)):
+            cols.append(F.transform(F.col(f.name), lambda x: F.when(~F.isnan(x), F.round(x, digits) + F.lit(0.0))).alias(f.name))
+            continue
         if isinstance(f.dataType, (DoubleType, FloatType)):
             cols.append((F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name))
         else:

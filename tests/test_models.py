@@ -9,37 +9,17 @@ def test_rf_overlap(spark, sf_small):
     assert a["prediction"].tolist() == b["prediction"].tolist()
 
 
-def test_svd_singular_values(spark):
-    from pyspark.ml.linalg import Vectors
-    from relsift.operators.vectors import truncated_svd
-    import numpy as np
-    rows = [(i, Vectors.dense([float((i * j) % 5) for j in range(6)])) for i in range(12)]
-    df = spark.createDataFrame(rows, ["id", "features"])
-    proj, s = truncated_svd(df, 3)
-    x = np.array([[float((i * j) % 5) for j in range(6)] for i in range(12)])
-    exp = np.linalg.svd(x, compute_uv=False)[:3]
-    assert np.allclose(s, exp, rtol=1e-6)
-    norms = {r["id"]: np.linalg.norm(r["svd"]) for r in proj.collect()}
-    assert len(norms) == 12
-
-
 def test_forest_beats_majority_class(spark, sf_small):
     import __spark_entry__ as E
     q = E.queries()["kappa_scorer"](spark, sf_small).first()["qwk"]
     assert q > 0  # a constant (majority-class) prediction has kappa 0
 
 
-def test_level_one_probabilities_and_query_factor(spark):
-    from pyspark.ml.functions import vector_to_array  # noqa: F401
+def test_level_one_probabilities(spark):
     from relsift.operators import models as M
     rows = [(i, float(i % 40), float(i % 3), float(i % 4)) for i in range(120)]
-    df = spark.createDataFrame(rows, "id long, query_idx double, x double, label double")
-    data = M.factor(df, "query_idx", max_bins=16)
-    meta = data.schema["query_idx"].metadata["ml_attr"]
-    assert meta["type"] == "nominal" and meta["num_vals"] == 16
-    assert data.agg({"query_idx": "max"}).first()[0] == 15.0
-    data = M.assemble(data, ["query_idx", "x"])
-    model = M.gbm_ovr(2, 0.1, 3, max_bins=16).fit(data)
+    data = M.assemble(spark.createDataFrame(rows, "id long, q double, x double, label double"), ["q", "x"])
+    model = M.gbm_ovr(2, 0.1, 3).fit(data)
     probs = M.class_probabilities(model.transform(data)).select("L1", "L2", "L3", "L4").collect()
     assert all(abs(sum(r) - 1) < 1e-9 and min(r) >= 0 for r in probs)
 
