@@ -11,6 +11,7 @@ from ..operators import corpus as C
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..sources import files as IO
+from ..sources import lines as LI
 from ..sources.fixture import read_table, relevance_table
 from ..streaming.features import start_pair_feature_sink
 from . import oracle as O
@@ -64,7 +65,21 @@ def q_augment(spark, sf_dir):
     scrubbed=False))
 def q_src_csv(spark, sf_dir):
     path = IO.write_csv(relevance_table(spark, sf_dir), IO.scratch_dir(spark, "rel-csv"))
-    return IO.read_relevance_csv(spark, path)
+    return LI.read_csv_splits(spark, path, IO.REL_SCHEMA)
+
+
+@register("src_corpus_aligned", O.with_rel(
+    "SELECT row_number() OVER (ORDER BY id) AS line, id, product_title AS text FROM srel"))
+def q_src_aligned(spark, sf_dir):
+    """Titles and ids as two plain line files in one order, read back by line number and
+    joined on it."""
+    rows = srel(spark, sf_dir).select("id", "product_title").orderBy("id")
+    titles, ids = IO.scratch_dir(spark, "titles"), IO.scratch_dir(spark, "ids")
+    rows.select("product_title").write.text(titles)
+    rows.select(F.col("id").cast("string")).write.text(ids)
+    left = LI.read_numbered_lines(spark, ids, "line_id")
+    right = LI.read_numbered_lines(spark, titles, "text")
+    return left.join(right, "id").select(F.col("id").alias("line"), F.col("line_id").cast("long").alias("id"), "text")
 
 
 @register("src_corpus_lines", O.with_rel(
