@@ -31,7 +31,7 @@ LEAST = 100
 LONGEST = 5
 TOP = 2_000
 #: Words of a chunk, about; bytes split at once.
-CHUNK_WORDS = 4_000_000
+CHUNK_WORDS = 1_500_000
 SLICE_BYTES = 4 << 20
 #: A tile is ``2 ** TILE_BITS`` numbers square; with this many pairs it is counted densely.
 TILE_BITS = 11
