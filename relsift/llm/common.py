@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +34,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     readable after an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/relsift-llm/{name}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lists of the tables written since each open ``scratch`` scope began.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the paths of the tables ``written`` inside. Results read them lazily, so
+    they may be ``dropped`` only when what was made of them is itself written."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes[:] = [p for p in _scopes if p is not paths]
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes the tables at ``paths`` and empties the list. A path that is gone is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    paths.clear()
+
+
 #: Bits of the membership filter: 65,536 words of 64 bits, whatever the data.
 FILTER_BITS = 1 << 22
 
