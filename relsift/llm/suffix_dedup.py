@@ -342,8 +342,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = max(1, -(-split_windows // RANGE_WINDOWS))
     wanted = placed.groupBy(F.col("at.id").alias("_id"), F.col("at.text_hash").alias("_hash")).agg(
         F.collect_list(F.struct(F.col("at.start").alias("start"), "windows", "count", "split", "shard", *_SEGMENT)).alias("wanted"))
-    # of rows that repeat an id and text one is enough; a segment given twice changes nothing
+    # of rows that repeat an id and text one goes on, so that copies cost once each
     near = maybe_member(texts, [F.col("id"), F.col("text_hash")], placed, [F.col("at.id"), F.col("at.text_hash")], "_maybe").where("_maybe")
+    near = near.dropDuplicates(["id", "text_hash"])
     source = near.join(wanted, (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "wanted")
 
     def copy_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +366,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = written(results.where("part is null").select(*_SEGMENT, "runs").unionByName(merged), "segment-runs")
     hits = found.select("id", "text_hash", "start", *_SEGMENT).join(runs, _SEGMENT)
     moved = hits.select("id", "text_hash", F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
-    return moved.groupBy("id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return moved.groupBy("id", "text_hash").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
