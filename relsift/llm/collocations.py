@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import rank_within, topk_per_group
-from .common import maybe_member, written
+from .common import dropped, maybe_member, scratch, written
 
 LEAST = 100
 LONGEST = 5
 TOP = 2_000
-#: Words of a chunk, about; bytes split at once.
-CHUNK_WORDS = 1_500_000
-SLICE_BYTES = 4 << 20
+#: Words of a chunk, about; bytes split at once; rows taken from a batch at once.
+CHUNK_WORDS = 500_000
+SLICE_BYTES = 1 << 20
+STEP = 512
 #: A tile is ``2 ** TILE_BITS`` numbers square; with this many pairs it is counted densely.
 TILE_BITS = 11
 DENSE = 1 << 17
@@ -104,7 +105,7 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     texts are empty, a null language is ``und``."""
     def encode(batches):
         at, chunk = TaskContext.get().partitionId() << 32, _Chunk()
-        for batch in batches:
+        for batch in (b.slice(lo, STEP) for b in batches for lo in range(0, b.num_rows, STEP)):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
                 some = np.flatnonzero(langs == lang)
@@ -228,10 +229,12 @@ def frequent_units(docs: DataFrame, least: int = LEAST, longest: int = LONGEST,
     phrases that occur ``least`` times or more: ``id, i, j, a, lang, words, starts, ends``,
     where ``i`` and ``j`` are the ids of the phrase without its last and first word, and
     ``starts`` and ``ends`` the counts of its beginnings and ends of 1, 2, ... words."""
-    coded = written(chunks(docs, chunk_words), "colloc-chunks")
-    vocabulary = coded.select("chunk", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("code", "w")).select(
-        "chunk", F.col("code").cast("long").alias("code"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    vocabulary = written(vocabulary, "colloc-vocabulary")
+    spark = docs.sparkSession
+    with scratch() as passed:  # tables of a step that the next one no longer reads
+        coded = written(chunks(docs, chunk_words), "colloc-chunks")
+        vocabulary = coded.select("chunk", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("code", "w")).select(
+            "chunk", F.col("code").cast("long").alias("code"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+        vocabulary = written(vocabulary, "colloc-vocabulary")
     totals = written(vocabulary.groupBy("lang").agg(F.sum("n").alias("n")), "colloc-totals")
     counted = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     none = F.lit(None).cast("long")
@@ -239,20 +242,26 @@ def frequent_units(docs: DataFrame, least: int = LEAST, longest: int = LONGEST,
         "id", none.alias("i"), none.alias("j"), "a", "lang", F.array("word").alias("words"), F.array("a").alias("starts"), F.array("a").alias("ends")), "colloc-units")]
     numbers = (vocabulary.select("chunk", "code", "lang", "word").join(units[0].select("id", "lang", F.col("words")[0].alias("word")), ["lang", "word"])
                .select("chunk", "code", "id"))
-    sequences = written(_renumbered(coded.select("chunk", "codes"), numbers, _number_words), "colloc-sequences")
+    with scratch() as current:
+        sequences = written(_renumbered(coded.select("chunk", "codes"), numbers, _number_words), "colloc-sequences")
+    dropped(spark, passed)
     for length in range(2, longest + 1):
-        pairs = written(chunk_pairs(sequences), "colloc-pairs")
-        frequent = pairs.groupBy("i", "j").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
-        ranked = _ranked(frequent, ["i", "j"], "colloc-frequent")
+        with scratch() as passed:
+            pairs = written(chunk_pairs(sequences), "colloc-pairs")
+            frequent = pairs.groupBy("i", "j").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
+            ranked = _ranked(frequent, ["i", "j"], "colloc-frequent")
         left = units[-1].select(F.col("id").alias("i"), "lang", F.col("words").alias("_first"), F.col("starts").alias("_starts"))
         right = units[-1].select(F.col("id").alias("j"), F.element_at("words", -1).alias("_last"), F.col("ends").alias("_ends"))
         units.append(written(ranked.join(left, "i").join(right, "j").select(
             "id", "i", "j", "a", "lang", F.concat("_first", F.array("_last")).alias("words"),
             F.concat("_starts", F.array("a")).alias("starts"), F.concat("_ends", F.array("a")).alias("ends")), "colloc-units"))
+        passed += current
         if length < longest:
             likely = maybe_member(pairs, [F.col("i"), F.col("j")], ranked, [F.col("i"), F.col("j")], "_maybe").where("_maybe")
             numbers = likely.select("chunk", "i", "j").join(ranked.select("i", "j", "id"), ["i", "j"])
-            sequences = written(_renumbered(sequences, numbers, _number_pairs), "colloc-sequences")
+            with scratch() as current:
+                sequences = written(_renumbered(sequences, numbers, _number_pairs), "colloc-sequences")
+        dropped(spark, passed)
     return totals, units
 
 
