@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, column_bytes, row_blocks
@@ -151,18 +151,26 @@ def fit_model(x: np.ndarray, langs: np.ndarray) -> LanguageModel:
 
 
 def train(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on at most about ``sample_rows`` rows where ``usable`` holds and ``lang`` and
-    ``text`` are not null; the sample's features reach one task, the weights the driver."""
+    """Fit on at most ``max(20, sample_rows // languages)`` distinct texts a language, of
+    rows where ``usable`` holds and ``lang`` and ``text`` are not null; the sample's
+    features reach one task, the weights the driver.
+
+    The draw goes by the text: it needs no id, copies of a text are one example, and a
+    rank per language bounds it whatever repeats. An empty table gives a model that
+    knows no language."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "doc_id", "lang", "text")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+        "lang", "text", F.xxhash64("text", F.lit("lang-sample")).alias("_draw"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_draw").alias("_n"))
     langs = {r["lang"]: r["_n"] for r in counts.collect()}  # one row per language
     if not langs:
         return LanguageModel([], np.zeros((0, DIM + 1)), {}, {})
     each = max(20, sample_rows // len(langs))
-    share = F.create_map(*[F.lit(v) for a, n in langs.items() for v in (a, min(1.0, each / n))])
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("lang-sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(unit < share[F.col("lang")])
+    # a quarter more than wanted, as the counts are estimates; the rank takes the rest off
+    share = F.create_map(*[F.lit(v) for a, n in langs.items() for v in (a, min(1.0, 1.25 * each / max(1, n)))])
+    unit = F.pmod(F.col("_draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.where(unit < share[F.col("lang")]).groupBy("lang", "_draw").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("_draw"), F.lit(1 << 30)), "_draw"))
+    sample = drawn.withColumn("_rank", rank).where(F.col("_rank") <= each)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -65,8 +65,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_re
     """``doc_id, size, source, source_size, target, copies, taken`` for every row of ``docs``.
 
     ``docs`` needs ``doc_id, text, source``. Null or empty texts have size 0 and
-    take 0 words. A null source is a source of its own, last in order. Repeated
-    rows are documents of their own and are sampled each. An empty table gives no
+    take 0 words. A null source is a source of its own, last in order. Rows without an
+    id are dealt to buckets by their text. Repeated rows are documents of their own and are sampled each. An empty table gives no
     rows. Reruns agree: order, offset and buckets are functions of the rows."""
     sizes = written(docs.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"),
@@ -80,7 +80,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_re
         F.lit(MIN_BUCKETS), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("long").alias("_buckets")), "mix-buckets")
     # written, so that the ranking deals rows out by bucket and not as this join left them
     rows = written(sizes.withColumn("cls", _size_class()).join(buckets, ["src", "no_src", "cls"])
-                   .withColumn("part", _scattered(F.col("doc_id")) % F.col("_buckets")).drop("_buckets"), "mix-rows")
+                   .withColumn("part", _scattered(F.col("doc_id"), F.col("tie")) % F.col("_buckets")).drop("_buckets"), "mix-rows")
     key = ["src", "no_src", "cls", "part"]
     inside = Window.partitionBy(*key).orderBy("size", "doc_id", "tie")
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
@@ -108,10 +108,11 @@ def _size_class():
     return F.when(F.col("size") < 8, F.col("size").cast("int")).otherwise((bits - 3) * 8 + top - 8).cast("int")
 
 
-def _scattered(doc_id):
-    """A fixed pseudo-random number below 2**31 - 1 for an id; null counts as 0."""
+def _scattered(doc_id, tie):
+    """A fixed pseudo-random number below 2**31 - 1 for an id, for the text's hash where
+    the id is null, so that rows without an id spread over all buckets."""
     m = F.lit((1 << 31) - 1)
-    return F.pmod(F.pmod(F.coalesce(doc_id.cast("long"), F.lit(0)), m) * 48271, m)
+    return F.pmod(F.pmod(F.coalesce(doc_id.cast("long"), tie), m) * 48271, m)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -5,7 +5,8 @@ List entries ``(pattern, category, action, listed_at)`` say that a host, a domai
 list at a time. ``validity_intervals`` turns the entries of a pattern into
 intervals ``[valid_from, valid_to)``; ``filter_urls`` joins every capture to the
 intervals that hold at its fetch time by the keys that its URL can match: the host,
-each parent domain, and each path prefix cut at ``/``.
+each parent domain, and each path prefix cut at ``/`` that is no deeper than the
+deepest path of the list. Hosts and paths are compared in lower case.
 """
 
 from __future__ import annotations
@@ -40,12 +41,16 @@ def _host(url):
     return F.when((F.length(bare) > 0) & (F.length(bare) <= MAX_HOST), bare)
 
 
-def _keys(host, path):
-    """Every pattern the URL can match: host, ``*.domain`` of host and parents, ``host/path`` prefixes."""
-    labels = F.split(host, r"\.")
+def _depth(pattern):
+    """Number of path steps of a pattern; 0 for a host or a domain."""
+    return F.size(F.filter(F.split(pattern, "/"), lambda s: s != "")) - 1
+
+
+def _keys(host, labels, steps):
+    """Every pattern the URL can match: host, ``*.domain`` of host and parents, and
+    ``host/path`` prefixes of the given path ``steps``."""
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)),
                           lambda i: F.concat(F.lit("*."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    steps = F.filter(F.split(path, "/"), lambda s: s != "")
     prefixes = F.when(F.size(steps) > 0, F.transform(
         F.sequence(F.lit(1), F.size(steps)),
         lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
@@ -61,14 +66,21 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     time matches nothing; neither is blocked by the list. Repeated captures (same
     id, URL and time) give one row. A listed host that holds a third of the
     captures is a skewed join key whose list side is a few rows: both sides are
-    plain shuffle inputs, which Spark splits. Empty lists and tables work."""
+    plain shuffle inputs, which Spark splits. Empty lists and tables work. A longer
+    path than any of the list has no more keys than the list's deepest path, so the
+    keys of a very long URL are as many as those of a short one."""
     cap = captures.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"),
                           F.col(f"`{time_col}`").alias("at"))
     cap = cap.withColumn("host", _host(F.col("url")))
     path = F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#\\\s]*([^?#\s]*)", 1))
-    keyed = cap.select("id", "url", "at", "host", F.explode_outer(
-        F.when(F.col("host").isNotNull(), _keys(F.col("host"), path))).alias("key"))
     spans = validity_intervals(entries)
+    # one number for the whole list, as a scalar subquery
+    deepest = F.coalesce(spans.agg(F.greatest(F.max(_depth(F.col("pattern"))), F.lit(0))).scalar(), F.lit(0))
+    # columns of their own: the lambdas of _keys read them once for each key
+    cap = cap.withColumn("labels", F.split("host", r"\.")).withColumn(
+        "steps", F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(1), deepest))
+    keyed = cap.select("id", "url", "at", "host", F.explode_outer(
+        F.when(F.col("host").isNotNull(), _keys(F.col("host"), F.col("labels"), F.col("steps")))).alias("key"))
     holds = ((keyed["key"] == spans["pattern"]) & (keyed["at"] >= spans["valid_from"])
              & (spans["valid_to"].isNull() | (keyed["at"] < spans["valid_to"])))
     hits = keyed.join(spans, holds, "left")
