@@ -15,6 +15,8 @@ frequency), and the distances of given pairs count those pairs only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ MIN_COUNT = 20
 MIN_WORD_LEN = 2
 # Words of one document that are paired in one group, about.
 PAIR_BLOCK = 256
+# Partners of a probe are looked up by bands of document frequency, each this factor wide.
+BAND_BASE = 4
 
 
 def corpus_a(rel: DataFrame, title: str = "product_title",
@@ -203,6 +207,63 @@ def closest_words(probes: DataFrame, pairs: DataFrame, df_counts: DataFrame, n_d
     cand = sym.join(ok, "word", "left_semi")
     top = topk_per_group(cand, ["word"], [F.desc("n"), F.asc("partner")], limit, out="co_rank",
                          salt=F.xxhash64("partner"))
+    return _with_distance(top, df_counts, n_docs)
+
+
+def closest_words_of(probes: DataFrame, corpus: DataFrame, limit: int = 10, min_count: int = MIN_COUNT,
+                     min_len: int = MIN_WORD_LEN) -> DataFrame:
+    """``closest_words`` over the pruned dictionary of ``corpus``, without its pair table.
+
+    Only the probes' own pairs are counted, against partners in falling document
+    frequency, one band of frequencies (a factor of ``BAND_BASE``) after another. A pair
+    count never exceeds the partner's frequency, so a probe is done when its ``limit``-th
+    count is above the most frequent word of the next band, and a partner smaller than
+    the probe was seen (which says that the probe is the larger word of some pair).
+    Bands are folders of the token table, so a band that no probe needs is not read, and
+    of the others only the documents that hold an open probe meet their words. Null, empty
+    and unknown probes give nothing; an empty corpus gives no rows."""
+    docs = materialize(_doc_words(corpus))
+    dfc = pruned_vocabulary(explode_rows(docs, F.col("words"), "word").groupBy("word")
+                            .agg(F.count(F.lit(1)).alias("n")), min_count, min_len)
+    band = F.floor(F.log("n") / math.log(BAND_BASE)).cast("int")
+    vocab = materialize(dfc.withColumn("band", band))
+    tokens = materialize(explode_rows(docs, F.col("words"), "word", "doc")
+                         .join(vocab.select("word", "band"), "word").select("doc", "word", "band"), "band")
+    asked = materialize(probes.select("word").distinct().join(vocab, "word", "left_semi"))
+    held = materialize(tokens.join(asked, "word", "left_semi").select("doc", F.col("word").alias("probe")))
+    # one row per power of BAND_BASE
+    bands = vocab.groupBy("band").agg(F.max("n").alias("top")).orderBy(F.desc("band")).collect()
+    order = [F.desc("n"), F.asc("partner")]
+    best = smaller = None
+    open_probes = asked
+    for i, row in enumerate(bands):
+        words = tokens.where(F.col("band") == row["band"]).select("doc", F.col("word").alias("partner"))
+        now = held.join(open_probes.select(F.col("word").alias("probe")), "probe", "left_semi")
+        co = materialize(now.join(words, "doc").where(F.col("probe") != F.col("partner"))
+                         .groupBy(F.col("probe").alias("word"), "partner").agg(F.count(F.lit(1)).alias("n"))
+                         .where(F.col("n") >= min_count))
+        fresh = co.where(F.col("partner") < F.col("word")).select("word").distinct()
+        smaller = materialize(fresh if smaller is None else smaller.unionByName(fresh).distinct())
+        seen = co if best is None else best.select("word", "partner", "n").unionByName(co)
+        best = materialize(topk_per_group(seen, ["word"], order, limit, out="co_rank", salt=F.xxhash64("partner")))
+        if i + 1 == len(bands):
+            break
+        probe_counts = best.groupBy("word").agg(F.count(F.lit(1)).alias("_k"), F.min("n").alias("_least"))
+        done = (probe_counts.where((F.col("_k") >= limit) & (F.col("_least") > bands[i + 1]["top"]))
+                .join(smaller, "word", "left_semi"))
+        open_probes = materialize(asked.join(done, "word", "left_anti"))
+        if open_probes.isEmpty():
+            break
+    if best is None:  # no word is frequent enough
+        best = asked.select("word", F.lit("").alias("partner"), F.lit(0).cast("long").alias("n"),
+                            F.lit(0).alias("co_rank")).limit(0)
+        smaller = asked
+    top = best.join(smaller, "word", "left_semi")
+    return _with_distance(top, vocab, docs.agg(F.count(F.lit(1)).alias("N")))
+
+
+def _with_distance(top: DataFrame, df_counts: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """``(word, partner, n, co_rank, distance, dist_rank)`` of top partners."""
     dist = normalized_distance(
         top.select(F.least("word", "partner").alias("word1"), F.greatest("word", "partner").alias("word2"), "n")
         .distinct(), df_counts, n_docs)

@@ -180,9 +180,7 @@ WHERE c.co_rank <= {CLOSEST_LIMIT}"""
 @register("closest_words", _c(CLOSEST_SQL, PAIRS_CTE, PRUNED_CTES, dist_cte("pdist", "ppairs", "pdfc")))
 def q_closest(spark, sf_dir):
     s, corp = _corpus(spark, sf_dir)
-    vocab, pairs = C.cooccurrence_pruned(corp)
-    probes = explode_rows(s, F.split("query", " "), "word")
-    return C.closest_words(probes, pairs, vocab, C.corpus_size(corp), limit=CLOSEST_LIMIT)
+    return C.closest_words_of(explode_rows(s, F.split("query", " "), "word"), corp, limit=CLOSEST_LIMIT)
 
 
 DIST_BY_CLASS_SQL = """

@@ -60,9 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *folders: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, readable after
-    executor loss, and pruned by column where it is read."""
+    executor loss, and pruned by column where it is read. ``folders`` are columns of few
+    values (the last of ``df``) that get a folder for each value, pruned where filtered."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/relsift-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
