@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import explode_rows
 from ..functions.stopwords import ENGLISH_STOPWORDS
+from ..operators import forms as FM
 from ..operators import tfidf as TF
 from ..sources.fixture import read_table
 from . import oracle as O
@@ -235,6 +237,68 @@ def q_lemma_tokens(spark, sf_dir):
     return _joined_forms(spark, sf_dir, TF.lemma_rule)
 
 
+# --- stems and lemmas from a user's table ---------------------------------------------
+
+# Suffix rules of the stand-in table (fixed values).
+SUFFIX_RULES = [("*ing", ""), ("*ed", ""), ("*ly", ""), ("*ness", ""), ("*ment", ""), ("*er", ""), ("*est", ""),
+                ("*ungen", "ung"), ("*en", ""), ("*mente", "")]
+
+
+def user_forms(spark, sf_dir):
+    """A table in the schema of a user's file: rows of three versions for tokens that end
+    in s, and suffix rules. Written as a tab-separated file and read back."""
+    from ..sources import files as IO
+    token = F.col("token")
+    d = explode_rows(docs(spark, sf_dir), T.word_tokens("text"), "token").where(token.endswith("s")).distinct()
+    size = F.length("token")
+    rules = spark.createDataFrame([(1, t, f) for t, f in SUFFIX_RULES], IO.FORM_TABLE)
+    table = (d.where(size >= 4).select(F.lit(1).cast("long").alias("version"), "token", F.expr("left(token, length(token) - 1)").alias("form"))
+             .unionByName(d.where((size >= 5) & token.endswith("ies")).select(
+                 F.lit(2).cast("long").alias("version"), "token", F.expr("left(token, length(token) - 3) || 'y'").alias("form")))
+             .unionByName(d.where(size == 5).select(F.lit(3).cast("long").alias("version"), "token", F.lit(None).cast("string").alias("form")))
+             .unionByName(rules))
+    return IO.read_form_table(spark, IO.write_form_table(table, IO.scratch_dir(spark, "forms")))
+
+
+def _user_forms_sql(version: int) -> str:
+    rules = ", ".join(f"(1, '{t}', '{f}')" for t, f in SUFFIX_RULES)
+    return f"""
+WITH occ AS (SELECT doc_id, cast(unnest(range(0, len(t))) AS integer) AS pos, unnest(t) AS token
+  FROM (SELECT doc_id, {WORD_TOKS_SQL} AS t FROM documents)),
+d AS (SELECT DISTINCT token FROM occ),
+tab(version, token, form) AS (
+  SELECT 1, token, left(token, length(token) - 1) FROM d WHERE ends_with(token, 's') AND length(token) >= 4
+  UNION ALL SELECT 2, token, left(token, length(token) - 3) || 'y' FROM d WHERE ends_with(token, 'ies') AND length(token) >= 5
+  UNION ALL SELECT 3, token, NULL FROM d WHERE ends_with(token, 's') AND length(token) = 5
+  UNION ALL SELECT * FROM (VALUES {rules})),
+held AS (SELECT token, form FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY version DESC, form NULLS LAST) AS k
+  FROM tab WHERE version <= {version}) WHERE k = 1 AND form IS NOT NULL),
+ruled AS (SELECT d.token, left(d.token, length(d.token) - length(h.token) + 1) || h.form AS form,
+    row_number() OVER (PARTITION BY d.token ORDER BY length(h.token) DESC) AS k
+  FROM d JOIN held h ON starts_with(h.token, '*') AND ends_with(d.token, substr(h.token, 2))
+    AND length(d.token) - length(h.token) + 1 >= {FM.MIN_STEM}),
+res AS (SELECT d.token, coalesce(e.form, r.form, d.token) AS form,
+    CASE WHEN e.token IS NOT NULL THEN 'entry' WHEN r.token IS NOT NULL THEN 'suffix' ELSE 'none' END AS matched_by
+  FROM d LEFT JOIN held e ON e.token = d.token LEFT JOIN ruled r ON r.token = d.token AND r.k = 1)"""
+
+
+@register("form_table_tokens", _user_forms_sql(3)
+          + " SELECT doc_id, pos, token, form, matched_by FROM occ JOIN res USING (token)")
+def q_form_tokens(spark, sf_dir):
+    """Every word token with its form by the user's table at version 3."""
+    forms = FM.forms_at(user_forms(spark, sf_dir), 3)
+    return FM.apply_forms(docs(spark, sf_dir), "doc_id", T.word_tokens("text"), forms)
+
+
+@register("form_table_unmatched", _user_forms_sql(2) + """
+SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_rows, cast(dense_rank() OVER (ORDER BY count(*) DESC) AS integer) AS rank
+FROM occ JOIN res USING (token) WHERE matched_by = 'none' GROUP BY token""")
+def q_form_unmatched(spark, sf_dir):
+    """The tokens that the user's table at version 2 does not match."""
+    forms = FM.forms_at(user_forms(spark, sf_dir), 2)
+    return FM.unmatched_tokens(docs(spark, sf_dir), "doc_id", T.word_tokens("text"), forms)
+
+
 # --- TF-IDF ------------------------------------------------------------------------------
 
 TRAIN_CTE = "train AS (SELECT * FROM srel WHERE median_relevance IS NOT NULL)"
