@@ -6,9 +6,11 @@ and 6 bytes, for word families); the document's is the noisy-or of its sentences
 document labels trains the word weights through the noisy-or, and the trained sentence
 scores then point at the offending sentences.
 
-The weights are fitted on a bounded sample of labelled rows (``SAMPLE_POSITIVE`` and
-``SAMPLE_NEGATIVE`` rows of at most ``SAMPLE_WORDS`` words each, chosen by a hash of
-``doc_id``); every document is scored over its whole text.
+The weights are fitted on the whole texts of a bounded sample of labelled documents
+(``SAMPLE_POSITIVE`` and ``SAMPLE_NEGATIVE``, chosen by a hash of ``doc_id``). Which
+features take part follows from counts that Spark adds up; only those of each sentence,
+equal sentences once with their number, reach the fitting task. Every document is scored
+over its whole text.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .kernels import LOWER, column_bytes, mix, prefix_hash, row_blocks, span_hash, sums_between
 
 DIM = 1 << 18
 SAMPLE_POSITIVE = 6_000
 SAMPLE_NEGATIVE = 10_000
-SAMPLE_WORDS = 50_000
 #: A feature takes part if so many sampled documents hold it, and if its share of the
 #: documents of the two labels differs by so many standard errors.
 MIN_DOCUMENTS = 8
@@ -81,31 +83,41 @@ def noisy_or(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.bincount(text, np.logaddexp(0, logits), n)
 
 
-def _kept(slots: np.ndarray, sizes: np.ndarray, place: np.ndarray):
-    """A bag with the used features only, by their place: sentences without any become
-    one of that multiplicity."""
+def used_features(present: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The features that take part, from the documents of each label (rows 0 and 1) that
+    hold them and the documents ``n`` of each label."""
+    overall = present.sum(0) / n.sum()
+    error = np.sqrt(np.maximum(overall * (1 - overall), 1e-12) * (1 / n).sum())
+    return np.flatnonzero((present.sum(0) >= MIN_DOCUMENTS)
+                          & (np.abs(present[1] / n[1] - present[0] / n[0]) >= MIN_DIFFERENCE * error))
+
+
+def kept_sentences(slots: np.ndarray, first: np.ndarray, place: np.ndarray):
+    """A document by its used features only, as their places: ``at`` (the sentences' places
+    end to end, sorted in each), ``sizes`` and ``times``. Equal sentences are one with their
+    number; the last is that of all sentences without a used feature."""
     at = place[slots]
-    count = sums_between(at >= 0, np.append(0, np.cumsum(sizes))).astype(np.int64)
-    full = count > 0
-    return at[at >= 0], np.append(count[full], 0), np.append(np.ones(full.sum()), (~full).sum())
+    on = at >= 0
+    sentence = np.repeat(np.arange(len(first) - 1), np.diff(first))[on]
+    at = at[on]
+    order = np.lexsort((at, sentence))
+    at, (found, sizes) = at[order].astype(np.int32), np.unique(sentence, return_counts=True)
+    stops = np.cumsum(sizes)
+    times: dict[bytes, int] = {}
+    for lo, hi in zip((stops - sizes).tolist(), stops.tolist(), strict=True):
+        own = at[lo:hi].tobytes()
+        times[own] = times.get(own, 0) + 1
+    sizes = [len(own) // 4 for own in times]
+    return (np.frombuffer(b"".join(times), np.int32), np.array([*sizes, 0], np.int32),
+            np.array([*times.values(), len(first) - 1 - len(found)], np.int64))
 
 
-def fit_weights(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, importance: np.ndarray,
+def fit_weights(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], features: int, labels: np.ndarray, importance: np.ndarray,
                 steps: int = 600, batch: int = 1024, rate: float = 0.1, shrink: float = 1e-5) -> np.ndarray:
-    """Adam steps on the likelihood of the bag labels. A bag is its words' slots and its
-    sentences' slot counts; ``importance`` undoes the sampling rates of the classes."""
-    present = np.zeros((2, DIM))
-    for (slots, _), y in zip(bags, labels, strict=True):
-        present[y, np.unique(slots)] += 1
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()])
-    overall = present.sum(0) / n.sum()
-    error = np.sqrt(np.maximum(overall * (1 - overall), 1e-12) * (1 / n).sum())
-    used = np.flatnonzero((present.sum(0) >= MIN_DOCUMENTS)
-                          & (np.abs(present[1] / n[1] - present[0] / n[0]) >= MIN_DIFFERENCE * error))
-    place = np.full(DIM, -1)
-    place[used] = np.arange(len(used))
-    bags = [_kept(slots, sizes, place) for slots, sizes in bags]
-    w = np.zeros(len(used) + 1)
+    """Adam steps on the likelihood of the bag labels: a weight for each of ``features``
+    places, the bias last. A bag is what ``kept_sentences`` returns; ``importance`` undoes
+    the sampling rates of the classes."""
+    w = np.zeros(features + 1)
     w[-1] = -5.0
     m, v, t = np.zeros(len(w)), np.zeros(len(w)), 0
     rng = np.random.default_rng(7)
@@ -130,17 +142,18 @@ def fit_weights(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, i
             m = 0.9 * m + 0.1 * grad
             v = 0.99 * v + 0.01 * grad * grad
             w += rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
-    out = np.zeros(DIM + 1)
-    out[used], out[-1] = w[:-1], w[-1]
-    return out
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_modulus: int = 5) -> np.ndarray | None:
     """Word weights from the rows of ``docs`` whose ``labels.toxic`` is known and whose
     ``crc32(doc_id) mod held_out_modulus`` is not 0; None when a class is missing.
 
-    The sampled ids are a bounded table (``SAMPLE_POSITIVE + SAMPLE_NEGATIVE`` rows),
-    which is broadcast; only the sampled rows' word slots reach the fitting task."""
+    An id that ``labels`` repeats is toxic if any of its rows says so; of rows of ``docs``
+    that share an id the smallest text counts. Rows without an id, and texts without a
+    word, teach nothing. The sampled ids are a bounded table (``SAMPLE_POSITIVE +
+    SAMPLE_NEGATIVE`` rows), which is broadcast; their texts count whole. The driver gets
+    two counts for each of at most ``DIM`` features."""
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
              .where(F.crc32(F.col("doc_id").cast("string")) % held_out_modulus != 0)
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -156,32 +169,71 @@ def train(docs: DataFrame, labels: DataFrame, held_out_modulus: int = 5) -> np.n
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            labels_in = np.array(batch.column(0).to_pylist(), np.int64)
-            ys, slots_out, sizes_out = [], [], []
-            for i in range(batch.num_rows):
-                slots, first, _, _, _ = sentence_words(data[offsets[i]: offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                if 0 < len(slots) <= SAMPLE_WORDS * PER_WORD:
-                    ys.append(int(labels_in[i]))
-                    slots_out.append(slots.astype(np.int32).tobytes())
-                    sizes_out.append(np.diff(first).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(slots_out, pa.binary()), pa.array(sizes_out, pa.binary())], names=["y", "slots", "sizes"])
+            data, offsets = column_bytes(batch.column(2))
+            for a, b in row_blocks(offsets):
+                rows, slots_out, first_out = [], [], []
+                for i in range(a, b):
+                    slots, first, _, _, _ = sentence_words(data[offsets[i]: offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+                    if len(slots):
+                        rows.append(i)
+                        slots_out.append(slots.astype(np.int32).tobytes())
+                        first_out.append(first.astype(np.int64).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())),
+                     pa.array(slots_out, pa.binary()), pa.array(first_out, pa.binary())], names=["id", "y", "slots", "first"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = np.zeros((2, DIM), np.int64)
+        for batch in batches:
+            for y, slots in zip(batch.column("y").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+                present[y, np.unique(np.frombuffer(slots, np.int32))] += 1
+        y, slot = np.nonzero(present)
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(slot, pa.int32()), pa.array(present[y, slot])], names=["y", "slot", "n"])
+
+    texts = (docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+             .groupBy(F.col("_id").cast("long").alias("id")).agg(F.max("_y").alias("y"), F.min("text").alias("text")))
+    bags = written(texts.mapInArrow(extract, "id long, y int, slots binary, first binary"), "toxic-bags")
+    n = np.zeros(2)
+    for r in bags.groupBy("y").count().collect():
+        n[r["y"]] = r["count"]
+    if not n.all():
+        return None
+    counts = (bags.select("y", "slots").mapInArrow(count, "y int, slot int, n long")
+              .groupBy("slot").agg(*[F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)])
+              .where(F.col("n0") + F.col("n1") >= MIN_DOCUMENTS).toPandas())
+    present = np.zeros((2, DIM))
+    for y in (0, 1):
+        present[y, counts["slot"].to_numpy(np.int64)] = counts[f"n{y}"].to_numpy(np.float64)
+    used = used_features(present, n)
+    place = np.full(DIM, -1, np.int32)
+    place[used] = np.arange(len(used))
+    rates = np.array([total[False], total[True]]) / n
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [kept_sentences(np.frombuffer(a, np.int32), np.frombuffer(b, np.int64), place)
+                    for a, b in zip(batch.column("slots").to_pylist(), batch.column("first").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("y"), *[pa.array([k[c].tobytes() for k in kept], pa.binary()) for c in range(3)]],
+                names=["id", "y", "at", "sizes", "times"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, bags = [], []
+        rows = []
         for batch in batches:
-            y += batch.column(0).to_pylist()
-            bags += [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        y = np.array(y, np.int64)
-        if len(set(y.tolist())) == 2:
-            rates = {1: total[True] / (y == 1).sum(), 0: total[False] / (y == 0).sum()}
-            w = fit_weights(bags, y, np.where(y == 1, rates[1], rates[0]))
+            parts = [[np.frombuffer(v, kind) for v in batch.column(c).to_pylist()] for c, kind in (("at", np.int32), ("sizes", np.int32), ("times", np.int64))]
+            rows += zip(batch.column("id").to_pylist(), batch.column("y").to_pylist(), zip(*parts, strict=True), strict=True)
+        if rows:
+            rows.sort(key=lambda r: r[0])  # the order in which tasks deliver is left to chance
+            y = np.array([r[1] for r in rows], np.int64)
+            w = fit_weights([r[2] for r in rows], len(used), y, rates[y])
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_y", "text")
-    found = (sample.mapInArrow(extract, "y int, slots binary, sizes binary").repartition(1)
+    found = (bags.mapInArrow(keep, "id long, y int, at binary, sizes binary, times binary").repartition(1)
              .mapInArrow(fit, "w binary").collect())
-    return np.frombuffer(bytes(found[0]["w"]), np.float64) if found else None
+    w = np.frombuffer(bytes(found[0]["w"]), np.float64)
+    out = np.zeros(DIM + 1)
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
 
 
 def _scored(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, threshold: float):
