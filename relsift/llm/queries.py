@@ -133,17 +133,30 @@ _RULES_SQL = ", ".join(f"('{name}', '{license_scan.rule_pattern(ids)}')" for nam
 @register("op9_license_scan", rf"""
 WITH known(sentence, sentence_id) AS (VALUES {_SENTENCES_SQL}),
 rules(license, pattern) AS (VALUES {_RULES_SQL}),
-parts AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]+') AS p
-          FROM documents),
-cut AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS pos FROM parts),
-hits AS (SELECT doc_id, pos, sentence_id FROM (SELECT doc_id, pos,
-           trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM cut) JOIN known USING (sentence)),
-seq AS (SELECT doc_id, count(*) AS n_sentences, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos,
-          string_agg(sentence_id, ',' ORDER BY pos) AS sentence_ids FROM hits GROUP BY doc_id),
-found AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
-          FROM seq JOIN rules ON regexp_matches(',' || sentence_ids || ',', pattern) GROUP BY doc_id)
-SELECT doc_id, n_sentences, first_pos, last_pos, sentence_ids, coalesce(licenses, '') AS licenses
-FROM seq LEFT JOIN found USING (doc_id)""")
+kw AS (SELECT sentence_id, sentence, string_split(sentence, ' ') AS w, len(string_split(sentence, ' ')) AS n FROM known),
+los AS (SELECT *, unnest(range(0, n)) AS lo FROM kw),
+his AS (SELECT *, unnest(range(lo + 1, n + 1)) AS hi FROM los),
+runs AS (SELECT sentence_id, sentence, n, lo, array_to_string(w[lo + 1:hi], ' ') AS piece FROM his),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+parts AS (SELECT r, doc_id, string_split_regex(regexp_replace(lower(replace(text, chr(9), ' ')), '([.!?]) +', '\1' || chr(10), 'g'), '[\n\r]+') AS p FROM docs),
+cut AS (SELECT r, doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS pos FROM parts),
+fine AS (SELECT r, doc_id, pos, string_split_regex(raw, ': +') AS q FROM cut),
+small AS (SELECT r, doc_id, pos, unnest(q) AS raw, generate_subscripts(q, 1) AS sub FROM fine),
+pieces AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY pos, sub) AS nth FROM (SELECT r, doc_id, pos, sub,
+             trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS piece FROM small) WHERE piece <> ''),
+matched AS (SELECT r, doc_id, pos, nth, piece, len(string_split(piece, ' ')) AS words, sentence_id, sentence, n, lo FROM pieces JOIN runs USING (piece)),
+laid AS (SELECT r, nth, nth - row_number() OVER w AS stretch, sum(words) OVER w - words AS before
+       FROM (SELECT DISTINCT r, nth, words FROM matched) WINDOW w AS (PARTITION BY r ORDER BY nth)),
+whole AS (SELECT r, doc_id, stretch, sentence_id, before - lo AS start, n, list(nth ORDER BY nth) AS nths, min(pos) AS pos
+          FROM matched JOIN laid USING (r, nth) GROUP BY ALL HAVING sum(words) = n),
+own AS (SELECT *, max(n) OVER (PARTITION BY r, k) AS longest FROM (SELECT *, unnest(nths) AS k FROM whole)),
+hits AS (SELECT r, doc_id, pos, nths[1] AS nth, sentence_id FROM own GROUP BY r, doc_id, stretch, sentence_id, start, n, nths, pos HAVING max(longest) = n),
+seq AS (SELECT doc_id, CASE WHEN doc_id IS NULL THEN r ELSE 0 END AS alone, count(*) AS n_sentences, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos,
+          string_agg(sentence_id, ',' ORDER BY pos, nth, sentence_id) AS sentence_ids FROM hits GROUP BY ALL),
+found AS (SELECT seq.doc_id, alone, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+          FROM seq JOIN rules ON regexp_matches(',' || sentence_ids || ',', pattern) GROUP BY ALL)
+SELECT seq.doc_id, n_sentences, first_pos, last_pos, sentence_ids, coalesce(licenses, '') AS licenses
+FROM seq LEFT JOIN found ON seq.doc_id IS NOT DISTINCT FROM found.doc_id AND seq.alone = found.alone""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(spark, table(spark, sf_dir, "documents"))
 

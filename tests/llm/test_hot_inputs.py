@@ -62,3 +62,37 @@ def test_url_of_a_megabyte_has_the_keys_of_a_short_one(spark):
     rows = {r["page_id"]: r for r in url_filter.filter_urls(captures, entries).collect()}
     assert {i: (r["pattern"], r["n_matches"]) for i, r in rows.items()} == {
         1: ("long.com/a/a", 2), 2: ("long.com/a/b", 2), 3: ("*.com", 1), 4: (None, 0)}
+
+
+def license_oracle(docs):
+    """The registered SQL over ``docs``, rows as tuples."""
+    import duckdb
+
+    from relsift.llm import queries
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    return con.execute(queries.ORACLE["op9_license_scan"]).fetchall()
+
+
+def test_licenses_equal_sql_on_wrapped_hot_and_odd_rows(spark):
+    import textwrap
+
+    from relsift.llm import license_scan
+    known = license_scan.SENTENCES
+    mit = known["mit-1"] + "\n\n" + known["mit-2"]
+    texts = [None, "", "...", mit, "\n".join(textwrap.wrap(mit, 30)), "\n".join(mit.split()), "the " * 3 + "\nsoftware\nthe\n\nsoftware",
+             "# " + "\n# ".join(textwrap.wrap(known["agpl3-header-1"], 60)) + "\n#\n# " + known["agpl3-header-2"],
+             known["isc-1"], known["0bsd-1"], "\n".join(textwrap.wrap(known["mpl2-1"] + " " + known["mpl2-2"], 40)),
+             "\n".join(f"* {w}" for w in known["unlicense-1"].split()) + " " + known["unlicense-2"],
+             "x. " + " ".join(["All rights reserved."] * 3000), "Permission to use, copy,\nmodify\nRedistribution and use\nin source"]
+    texts += [f"SPDX-License-Identifier: {name}" for name in license_scan.SPDX]
+    ids = list(range(len(texts))) + [None] * 600 + [3] * 600
+    texts += ["\n".join(textwrap.wrap(mit, 50)), "All rights\nreserved."] * 300 + ["no licence", "Released under\nthe MIT License."] * 300
+    docs = spark.createDataFrame([(i, t, 5, "x", 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, n int, sentence string, nth int")
+    got = [tuple(r) for r in license_scan.scan_licenses(spark, docs.repartition(6)).collect()]
+    key = lambda r: tuple((v is None, v or 0) if not isinstance(v, str) else (False, v) for v in r)
+    assert sorted(got, key=key) == sorted(license_oracle(docs), key=key)
+    by_id = {r[0]: r for r in got if r[0] is not None}
+    assert [by_id[i][5] for i in (4, 5, 7, 8, 9, 10, 11)] == ["MIT", "MIT", "AGPL-3.0-or-later", "ISC", "0BSD", "MPL-2.0", "Unlicense"]
+    assert by_id[12][1] == 3000 and by_id[3][1] == 302 and 6 not in by_id and 13 not in by_id
+    assert sum(r[0] is None for r in got) == 600
