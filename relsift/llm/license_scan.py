@@ -14,6 +14,7 @@ sentences may stand.
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,25 +136,40 @@ def sentence_runs(spark: SparkSession, sentences: dict[str, str] = SENTENCES) ->
     return runs.select(F.xxhash64(run).alias("run"), "sentence_id", "sentence", "n", "lo")
 
 
-def text_pieces(docs: DataFrame) -> DataFrame:
-    """``doc_id, _row, nth, pos, piece`` of the pieces with words: ``nth`` counts them in
-    their row of ``docs``, ``pos`` the stretches between line ends and after ``. ! ?``, also
-    those without a word."""
+def text_pieces(docs: DataFrame, sentences: dict[str, str] = SENTENCES) -> DataFrame:
+    """``doc_id, _row, nth, pos, piece`` of the pieces that may be part of a known sentence:
+    they are one, or their border with a neighbour is that of two words which follow one
+    another in one. ``nth`` counts a row's pieces with words, ``pos`` the stretches between
+    line ends and after ``. ! ?``, also those without a word."""
     text = F.regexp_replace(F.translate(F.lower("text"), "\t", " "), SENTENCE_END, "\n")
     text = F.regexp_replace(F.regexp_replace(text, ": +", "\t"), "[^a-z0-9\n\t]+", " ")
     cut = F.flatten(F.transform(F.split(text, "\n"), lambda part, pos: F.transform(
         F.split(part, "\t"), lambda piece: F.struct(pos.alias("pos"), F.trim(piece).alias("piece")))))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text")
-    return rows.select("doc_id", "_row", F.posexplode(F.filter(cut, lambda x: x["piece"] != "")).alias("nth", "_p")).select(
-        "doc_id", "_row", "nth", F.col("_p.pos").alias("pos"), F.col("_p.piece").alias("piece"))
+    known = sorted(known_sentences(sentences))
+    pairs = sorted({f"{a} {b}" for s in known for a, b in pairwise(s.split())})
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.filter(cut, lambda x: x["piece"] != "").alias("_c"))
+
+    def follows(x, i):
+        """Whether the border of a piece with the one before is a known pair of words."""
+        last = F.substring_index(F.get("_c", i - 1)["piece"], " ", -1)
+        return F.coalesce(F.concat(last, F.lit(" "), F.substring_index(x["piece"], " ", 1)).isin(pairs), F.lit(False))
+
+    def marked(x, i):
+        near = F.get("_follows", i) | F.coalesce(F.get("_follows", i + 1), F.lit(False))
+        return F.struct(i.alias("nth"), x["pos"].alias("pos"), x["piece"].alias("piece"), (near | x["piece"].isin(known)).alias("may"))
+
+    rows = rows.withColumn("_follows", F.transform("_c", follows))
+    some = F.filter(F.transform("_c", marked), lambda x: x["may"])
+    return rows.select("doc_id", "_row", F.explode(some).alias("_p")).select("doc_id", "_row", "_p.nth", "_p.pos", "_p.piece")
 
 
 def known_places(spark: SparkSession, docs: DataFrame, sentences: dict[str, str] = SENTENCES) -> DataFrame:
     """``doc_id, _row, pos, nth, sentence_id``: each known sentence of each row of ``docs``,
     at its first piece. Of sentences that share a piece the longest counts (all of them, if
     of one length)."""
-    pieces = text_pieces(docs).withColumn("words", F.size(F.split("piece", " ")))
-    parts = pieces.withColumn("run", F.xxhash64("piece")).join(sentence_runs(spark, sentences), "run")
+    pieces = text_pieces(docs, sentences).withColumn("words", F.size(F.split("piece", " ")))
+    runs = written(sentence_runs(spark, sentences), "license-runs")  # a table's size is known to the planner
+    parts = pieces.withColumn("run", F.xxhash64("piece")).join(runs, "run")
     parts = written(parts, "license-parts")  # numbers of rows are drawn once, and texts are cut once
     # neighbouring pieces that are parts of something make a stretch; places are counted in it
     each = parts.groupBy("_row", "nth").agg(F.first("words").alias("words"))
