@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: one hierarchical navigable small world per shard.
 
 Equal vectors are one node that keeps its smallest ids (as many as a result can hold).
-Nodes are dealt to shards by a hash of the vector. A shard's graph is stored as flat
+Nodes are dealt to shards by their length, in steps of ``LENGTH_RATIO``, and by a hash of
+the vector. A shard's graph is stored as flat
 neighbour arrays, one row of ``m`` (bottom layer: ``2 m``) node numbers for each node of
 a layer, -1 where there are fewer. Largest inner product is turned into nearest
-neighbour by one more component that gives all vectors one length (0 for a query).
+neighbour by one more component that gives all vectors of a shard one length (0 for a
+query); as a shard's lengths are alike, it stays small against the others.
 
 Layers are built from the top. A layer's nodes join in batches: each batch searches the
 graph so far from where the layer above leads it, keeps neighbours that are nearer to
@@ -25,6 +27,8 @@ from .vectors import best_per_query, dealt, matrix, pieces, usable_vectors
 
 SHARD_ROWS = 8_192
 BLOCK_ROWS = 4_096
+#: Longest to shortest vector of a shard, at most.
+LENGTH_RATIO = 1.25
 LINKS = 16
 EF_BUILD = 64
 EF_SEARCH = 160
@@ -214,7 +218,23 @@ def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.size("v").alias("dim"), "v", "ids")
 
 
-def build_index(nodes: DataFrame, shards: int) -> DataFrame:
+def in_shards(nodes: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
+    """``nodes`` with their ``shard``, and the number of shards. A step of lengths has a
+    shard for each ``shard_rows`` nodes, about; the range of a double bounds the steps of a
+    dimension (some 6,400)."""
+    most = F.array_max(F.transform("v", F.abs))
+    parts = F.aggregate("v", F.lit(0.0), lambda total, x: total + (x / most) * (x / most))
+    step = F.floor((F.log(most) + F.log(parts) / 2) / float(np.log(LENGTH_RATIO)) + 0.5)
+    nodes = nodes.withColumn("step", step)
+    steps = nodes.groupBy("dim", "step").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("own"))
+    steps = steps.withColumn("past", F.sum("own").over(Window.partitionBy("dim").orderBy("step")).cast("int") - F.col("own"))
+    steps = written(steps, "hnsw-steps")
+    shards = steps.agg(F.max(F.col("past") + F.col("own"))).first()[0] or 1
+    put = nodes.join(steps, ["dim", "step"]).withColumn("shard", F.col("past") + F.pmod(F.xxhash64("v"), F.col("own")).cast("int"))
+    return put.select("dim", "shard", "v", "ids"), shards
+
+
+def build_index(nodes: DataFrame) -> DataFrame:
     """One row per (dimension, shard): vectors, ids and the graph's flat neighbour arrays."""
     schema = ("dim int, shard int, n int, vectors binary, id_first array<int>, ids array<long>, "
               "members array<array<int>>, links array<binary>")
@@ -234,8 +254,7 @@ def build_index(nodes: DataFrame, shards: int) -> DataFrame:
             pa.array([[a[m].tobytes() for a, m in zip(g.links, g.members, strict=True)]], pa.list_(pa.binary()))],
             names=["dim", "shard", "n", "vectors", "id_first", "ids", "members", "links"])
 
-    put = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return put.groupBy("dim", "shard").applyInArrow(build, schema)
+    return nodes.groupBy("dim", "shard").applyInArrow(build, schema)
 
 
 def restored(row: dict) -> tuple[Graph, np.ndarray]:
@@ -262,8 +281,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ef: int = EF_SEAR
     nodes = written(nodes_of(vectors, k), "hnsw-nodes")
     usable = usable_vectors(vectors).where(is_query).where(F.exists("v", lambda x: x != 0))
     asked = written(usable.select("id", F.size("v").alias("dim"), "v"), "hnsw-queries")
-    shards, blocks = pieces(nodes.count(), SHARD_ROWS), pieces(asked.count(), BLOCK_ROWS)
-    index = written(build_index(nodes, shards), "hnsw-index")
+    placed, shards = in_shards(nodes, SHARD_ROWS)
+    blocks = pieces(asked.count(), BLOCK_ROWS)
+    index = written(build_index(placed), "hnsw-index")
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = dealt(asked, "block", blocks, "shard", shards, "id")
     beam = max(ef, k + 1)
