@@ -210,22 +210,23 @@ def same_length(v: np.ndarray) -> np.ndarray:
 
 
 def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
-    """``dim, v, ids``: distinct non-zero vectors with their ``k + 1`` smallest ids, which
-    are all that a result of k can hold. The rank filter runs before the shuffle."""
+    """``dim, v, ids, step``: distinct non-zero vectors with their ``k + 1`` smallest ids,
+    which are all that a result of k can hold, and the step of their length in powers of
+    ``LENGTH_RATIO``. The rank filter runs before the shuffle."""
     rows = usable_vectors(vectors).where(F.exists("v", lambda x: x != 0))
     w = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
-    return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.size("v").alias("dim"), "v", "ids")
+    nodes = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    nodes = nodes.withColumn("_most", F.array_max(F.transform("v", F.abs)))  # a column of its own, or each component finds it anew
+    parts = F.aggregate("v", F.lit(0.0), lambda total, x: total + (x / F.col("_most")) * (x / F.col("_most")))
+    step = F.floor((F.log("_most") + F.log(parts) / 2) / float(np.log(LENGTH_RATIO)) + 0.5)
+    return nodes.select(F.size("v").alias("dim"), "v", "ids", step.alias("step"))
 
 
 def in_shards(nodes: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
     """``nodes`` with their ``shard``, and the number of shards. A step of lengths has a
     shard for each ``shard_rows`` nodes, about; the range of a double bounds the steps of a
     dimension (some 6,400)."""
-    most = F.array_max(F.transform("v", F.abs))
-    parts = F.aggregate("v", F.lit(0.0), lambda total, x: total + (x / most) * (x / most))
-    step = F.floor((F.log(most) + F.log(parts) / 2) / float(np.log(LENGTH_RATIO)) + 0.5)
-    nodes = nodes.withColumn("step", step)
     steps = nodes.groupBy("dim", "step").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("own"))
     steps = steps.withColumn("past", F.sum("own").over(Window.partitionBy("dim").orderBy("step")).cast("int") - F.col("own"))
     steps = written(steps, "hnsw-steps")
