@@ -139,3 +139,25 @@ def test_pseudo_ids_follow_the_train_ids(spark):
     ids = [r["id"] for r in AU.augment_train(train, pages).select("id").collect()]
     assert sorted(ids) == [AU.START_ID + 5, AU.START_ID + 6, AU.START_ID + 7]
     assert AU.pseudo_label_rows(pages).agg({"id": "min"}).first()[0] == AU.START_ID
+
+
+def test_given_pairs_are_counted_where_both_words_occur(spark, monkeypatch):
+    texts = ["a b c d", "a b", "c d x", "hub a", "hub b", "hub c x", "hub hub d", "y", "a hub b"]
+    corp = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc int, text string")
+    words = ["a", "b", "c", "d", "x", "y", "nowhere"]
+    pairs = [("hub", w) for w in words] + [(w, "hub") for w in words] + [("a", "b"), ("c", "b"), ("y", "x")]
+    given = spark.createDataFrame(pairs, "w1 string, w2 string")
+    sets = [set(t.split()) for t in texts]
+
+    def expected(a, b):
+        n1, n2, both = (sum(f(s) for s in sets) for f in (lambda s: a in s, lambda s: b in s, lambda s: a in s and b in s))
+        if not both:
+            return float("inf")
+        return (max(math.log(n1), math.log(n2)) - math.log(both)) / (math.log(len(sets)) - min(math.log(n1), math.log(n2)))
+
+    for most in (C.BROADCAST_PAIRS, 0):  # partners sent to every task, or joined by word
+        monkeypatch.setattr(C, "BROADCAST_PAIRS", most)
+        got = {(r["word1"], r["word2"]): r["distance"] for r in C.pair_distance(given, corp).collect()}
+        assert set(got) == {(min(p), max(p)) for p in pairs}
+        for (a, b), value in got.items():
+            assert value == expected(a, b) or math.isclose(value, expected(a, b), abs_tol=1e-12)
