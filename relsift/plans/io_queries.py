@@ -17,7 +17,7 @@ from ..streaming.features import start_pair_feature_sink
 from . import oracle as O
 from .corpus_queries import NEEDED_CTE, _c, dist_cte, phrase_sql
 from .nb_queries import NB_CTES
-from .registry import ORACLE, register, srel
+from .registry import ORACLE, register, srel, srel_shared
 
 NORM = ("trim(regexp_replace(regexp_replace(lower(regexp_replace({x}, '" + O.WS + "', ' ', 'g')), "
         "'[^\\p{{L}}\\p{{N}} ]', '', 'g'), ' +', ' ', 'g'))")
@@ -96,7 +96,7 @@ def q_src_corpus(spark, sf_dir):
 
 @register("src_distance_lines", _c(phrase_sql("dist"), NEEDED_CTE, dist_cte("dist", "npairs", "dfc")))
 def q_src_distance(spark, sf_dir):
-    s = srel(spark, sf_dir)
+    s = srel_shared(spark, sf_dir)
     dist = C.phrase_distance(s, C.corpus_a(s))
     path = IO.write_lines(dist, IO.scratch_dir(spark, "distances"), "distance")
     return IO.read_distance_lines(spark, path)
