@@ -161,3 +161,54 @@ def test_given_pairs_are_counted_where_both_words_occur(spark, monkeypatch):
         assert set(got) == {(min(p), max(p)) for p in pairs}
         for (a, b), value in got.items():
             assert value == expected(a, b) or math.isclose(value, expected(a, b), abs_tol=1e-12)
+
+
+def test_tiles_count_every_pair_once(spark, monkeypatch):
+    from itertools import combinations
+    from random import Random
+    from relsift.operators import pair_counts as PC
+    draw = Random(1)
+    words = [f"w{i}" for i in range(400)] + ["é", "Z", "~"]
+    texts = [" ".join(draw.sample(words, draw.choice([0, 1, 2, 30, 200]))) for _ in range(60)] + [" ".join(words)]
+    corp = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    want = Counter()
+    for t in texts:
+        want.update(combinations(sorted(set(t.split()), key=lambda w: w.encode()), 2))
+    monkeypatch.setattr(PC, "CHUNK_WORDS", 500)
+    monkeypatch.setattr(C, "PAIR_BLOCK", 90)
+    got = {(r["word1"], r["word2"]): r["n"] for r in C.word_cooccurrence(corp).collect()}
+    assert got == dict(want)
+    keep = spark.createDataFrame([(w,) for w in words[:50] * 2], "word string")
+    some = C.word_cooccurrence(corp, keep, min_n=20).collect()
+    assert {(r["word1"], r["word2"]): r["n"] for r in some} == {p: n for p, n in want.items() if n >= 20 and set(p) <= set(words[:50])}
+    assert C.word_cooccurrence(corp.limit(0)).count() == 0
+
+
+def test_strips_and_pieces_of_a_tile(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from itertools import combinations
+    from random import Random
+    from relsift.operators import pair_counts as PC
+    for name, value in (("COUNTERS", 200), ("EVENTS", 50), ("BATCH_ROWS", 7)):
+        monkeypatch.setattr(PC, name, value)
+    draw, want, batches = Random(2), Counter(), []
+    names = {0: [f"a{i}" for i in range(40)], 1: [f"b{i}" for i in range(30)]}
+    for chunk in range(3):
+        rows = []
+        for doc in range(20):
+            words = [(b, i) for b in names for i in range(len(names[b])) if draw.random() < draw.choice([0.0, 0.1, 0.9])]
+            want.update(combinations([names[b][i] for b, i in words], 2))
+            rows += [(chunk, doc, b, i) for b, i in words]
+        draw.shuffle(rows)
+        table = pa.table(dict(zip(("chunk", "doc", "band", "lid"), (np.array(c) for c in zip(*rows)))))
+        batches += PC._pack(table).to_pylist()
+    got = Counter()
+    for tile, bands in ((0, [0]), (1, [0, 1]), (3, [1])):
+        rows = [{"tile": tile, "words": None, **r} for r in batches if r["band"] in bands]
+        rows += [{"tile": tile, "chunk": None, "band": b, "docs": None, "sizes": None, "lids": None, "words": names[b]} for b in bands]
+        out = list(PC._tiles(2, 3)([pa.RecordBatch.from_pylist(rows)]))
+        for r in (r for batch in out for r in batch.to_pylist()):
+            assert (r["word1"], r["word2"]) not in got
+            got[r["word1"], r["word2"]] = r["n"]
+    assert got == {p: n for p, n in want.items() if n >= 3}
