@@ -30,3 +30,22 @@ def test_scaled_columns_have_unit_variance(spark):
     df = spark.createDataFrame([(i, float(i * i), 1.0) for i in range(30)], "id long, a double, b double")
     rows = standard_scale(df, df, ["a", "b"]).collect()
     assert abs(np.var([r["a"] for r in rows]) - 1) < 1e-9 and {r["b"] for r in rows} == {0.0}
+
+
+def test_undefined_features_take_the_upper_side(spark):
+    from relsift.operators import models as M
+    rows = [(i, [float(i % 5), None, float("nan")][i % 3], i % 3 + 1, i % 2) for i in range(60)]
+    data = M.with_label(M.assemble_defined(spark.createDataFrame(rows, "id long, x double, median_relevance int, n int"), ["x", "n"]))
+    assert {v.features[0] for v in data.where("id % 3 > 0").collect()} == {M.UNDEFINED}
+    assert [v.features[0] for v in data.where("id % 3 = 0").orderBy("id").limit(3).collect()] == [0.0, 3.0, 1.0]
+    for model in (M.random_forest(5).fit(data), M.gbm_ovr(2, 0.1, 2).fit(data)):
+        got = model.transform(data).where("id % 3 = 0").select("label", "prediction").collect()
+        assert all(r.label == r.prediction for r in got)
+
+
+def test_distance_forest_with_empty_texts(spark, tmp_path):
+    import __spark_entry__ as E
+    texts = [(i, ["red shoe size", "\u4e00\u4e8c", "blue hat", None][i % 4], "en", "a" if i % 4 != 1 else "b", 3) for i in range(48)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i // 4 % 2, i // 8 % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert len(E.queries()["rf_importance"](spark, str(tmp_path)).collect()) == 70
