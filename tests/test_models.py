@@ -49,3 +49,27 @@ def test_distance_forest_with_empty_texts(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i // 4 % 2, i // 8 % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert len(E.queries()["rf_importance"](spark, str(tmp_path)).collect()) == 70
+
+
+def test_chi_squared_reads_the_rows_once(spark):
+    from relsift.operators import vectors as V
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    long = spark.createDataFrame([(i, f, float((i + 1) * (f == "a") + 1)) for i in range(8) for f in "ab"], "id long, feature string, value double")
+    labels = spark.createDataFrame([(i, i % 2 + 1) for i in range(8)], "id long, label int")
+    got = V.chi2_select(long.mapInArrow(counted, long.schema), labels, 2, [1, 2]).collect()
+    obs = [sum(i + 2 for i in range(8) if i % 2 == k) for k in (0, 1)]
+    want = sum((o - sum(obs) / 2) ** 2 / (sum(obs) / 2) for o in obs)
+    assert [(r.feature, r.rank) for r in got] == [("a", 1), ("b", 2)] and abs(got[0].chi2 - want) < 1e-12 and got[1].chi2 == 0
+    assert seen.value == 16
+
+
+def test_scrub_of_odd_characters(spark):
+    from relsift.functions import text as T
+    rows = [("  A\t\n b--C_9.\u4e00 \x0b\u0130 z ",), (" ",), ("",), (None,), ("\U0001f600 x",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.scrub("t")).collect()]
+    assert got == ["a b--c9 i z ", "", "", None, "x"]
