@@ -73,3 +73,18 @@ def test_scrub_of_odd_characters(spark):
     rows = [("  A\t\n b--C_9.\u4e00 \x0b\u0130 z ",), (" ",), ("",), (None,), ("\U0001f600 x",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.scrub("t")).collect()]
     assert got == ["a b--c9 i z ", "", "", None, "x"]
+
+
+def test_few_rows_make_few_partitions_of_trees(spark):
+    from relsift.operators import models as M
+    df = spark.range(0, 100, 1, 7)
+    assert [M.dealt_for_trees(df, n).rdd.getNumPartitions() for n in (1000, 40, 10)] == [1, 3, 7]
+    assert M.dealt_for_trees(df.limit(0)).count() == 0
+
+
+def test_labelled_rows_are_cut_from_the_texts_once(spark, sf_small):
+    from relsift.plans import ml_queries as Q
+    s, train, test = Q._labelled(spark, sf_small)
+    assert "product_description" not in s.columns and "product_description" in Q._labelled(spark, sf_small, description=True)[0].columns
+    assert all("documents.parquet" not in f for df in (s, train, test) for f in df.inputFiles())
+    assert train.count() + test.count() == s.count() > 0
