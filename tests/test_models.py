@@ -83,6 +83,7 @@ def test_few_rows_make_few_partitions_of_trees(spark):
 
 
 def test_labelled_rows_are_cut_from_the_texts_once(spark, sf_small):
+    import __spark_entry__  # noqa: F401  (registers in order)
     from relsift.plans import ml_queries as Q
     s, train, test = Q._labelled(spark, sf_small)
     assert "product_description" not in s.columns and "product_description" in Q._labelled(spark, sf_small, description=True)[0].columns

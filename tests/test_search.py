@@ -111,3 +111,33 @@ def test_rounded_arrays(spark):
     from relsift.plans.registry import rounded
     df = spark.createDataFrame([(1, [0.12345678, float("nan"), None, -0.0])], "id long, v array<double>")
     assert rounded(df).first().v == [0.123457, None, None, 0.0]
+
+
+def test_svd_through_words_equals_the_product(spark):
+    rng = np.random.default_rng(5)
+    x, y = [(rng.random(s) < 0.4) * rng.random(s) for s in ((40, 15), (15, 25))]
+    words = entries(spark, x).withColumnRenamed("term", "t").selectExpr("id", "concat('w', substr(t, 2)) term", "weight")
+    through = entries(spark, y).selectExpr("concat('w', id) id", "term", "weight")
+    for block in (60, 10**6):
+        proj, values = svd.truncated_svd(words, 5, iterations=8, block_entries=block, through=through)
+        _, want, v = np.linalg.svd(x @ y)
+        assert np.allclose(values, want[:5], rtol=1e-6)
+        got = {r.id: np.abs(r.svd) for r in proj.collect()}
+        assert len(got) == 40 and all(np.allclose(got[i], np.abs((x @ y)[i] @ v[:5].T), atol=1e-3) for i in got)
+
+
+def test_factors_are_the_ngram_weights(spark):
+    from relsift.operators import tfidf as TF
+    from pyspark.sql import functions as F
+    texts = ["Red shoe  red", "a blue shoe", "", None, "shoe\tsize x", "red", "zq", "blu\u00e9 shoe"]
+    rows = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "id long, s string")
+    train = rows.where("id < 5")
+    for low, high in ((1, 6), (4, 5), (2, 2)):
+        want = {(r.id, r.term): r.weight for r in TF.tfidf(train, rows, lambda d: TF.char_wb_rows(d, F.col("s"), low, high), min_df=2, nested=True).collect()}
+        counts, grams = TF.char_wb_factors(train, rows, F.col("s"), low, high, min_df=2)
+        got = {}
+        for r in counts.join(grams.select(F.col("id").alias("word"), F.col("term").alias("gram"), F.col("weight").alias("g")), F.col("term") == F.col("word")).collect():
+            got[r.id, r.gram] = got.get((r.id, r.gram), 0) + r.weight * r.g
+        assert want.keys() == got.keys() and want and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+        plain = {tuple(r) for r in TF.count_terms(TF.char_wb_rows(rows, F.col("s"), low, high)).collect()}
+        assert {tuple(r) for r in TF.char_wb_counts(rows, F.col("s"), low, high).collect()} == plain
