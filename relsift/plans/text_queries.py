@@ -12,6 +12,7 @@ from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..operators import forms as FM
 from ..operators import tfidf as TF
 from ..sources.fixture import read_table
+from ..session import materialize
 from . import oracle as O
 from .registry import register, srel, srel_shared
 
@@ -336,10 +337,9 @@ def _charwb_train_sql() -> str:
 @register("tfidf_smooth", _with_tfidf(_tfidf_sql(
     _char_wb_sql(CHAR_WB_DOC), _charwb_train_sql(), "SELECT count(*) AS n FROM train", 3, SMOOTH)))
 def q_tfidf_smooth(spark, sf_dir):
-    s = srel_shared(spark, sf_dir)
+    s = materialize(srel(spark, sf_dir).select("id", "query", "product_title", "median_relevance"))
     train = s.where(F.col("median_relevance").isNotNull())
-    return TF.tfidf(train, s, lambda d: TF.char_wb_rows(d, T.combine_text("query", "product_title"), 1, 6),
-                    min_df=3, idf="smooth", nested=True)
+    return TF.char_wb_tfidf(train, s, T.combine_text("query", "product_title"), 1, 6, min_df=3)
 
 
 def _lemma_terms_sql() -> str:
