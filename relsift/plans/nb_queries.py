@@ -19,7 +19,7 @@ SEED = 0
 
 
 def _inputs(spark, sf_dir):
-    rel = materialize(relevance_table(spark, sf_dir))
+    rel = materialize(relevance_table(spark, sf_dir).select("id", "query", "product_title", "median_relevance"))
     folds = EV.stratified_folds(rel.select("id", "median_relevance"), k=K, seed=SEED)
     docs = rel.select("id", "query", "product_title")
     labels = materialize(folds.select("id", F.col("median_relevance").cast("int").alias("label"), "fold"))
