@@ -27,3 +27,22 @@ def test_a_title_makes_no_array_of_all_words(spark, tmp_path):
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     plan = relevance_table(spark, str(tmp_path)).select("product_title")._jdf.queryExecution().optimizedPlan().toString()
     assert "+, 13)" in plan and "+, -1)" not in plan
+
+
+def test_no_text_is_shuffled_to_meet_small_tables(spark, tmp_path):
+    rows = [(i, " ".join(W), "en", f"s{i % 3}") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rel = relevance_table(spark, str(tmp_path))
+    plan = rel._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert rel.count() == 9
+
+
+def test_an_id_that_repeats_gives_its_queries_to_all_rows(spark, tmp_path):
+    # the lowest id twice in one (lang, source): two queries, each beside every row
+    rows = [(1, "a b c d", "en", "s"), (1, "e f g h", "en", "s"), (2, " ".join(W), "en", "s"), (3, "x", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r.id, r.query) for r in relevance_table(spark, str(tmp_path)).collect())
+    assert got == [(1, "a b c"), (1, "a b c"), (1, "e f g"), (1, "e f g"), (2, "a b c"), (2, "e f g")]

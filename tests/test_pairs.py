@@ -105,3 +105,14 @@ def test_char_wb_matches_reference_rule(spark):
     text = "A dog  house ab"
     got = spark.createDataFrame([(text,)], "s string").select(T.char_wb_ngrams("s", 1, 6).alias("g")).first()["g"]
     assert sorted(got) == ref(text, 1, 6)
+
+
+def test_shingles_are_all_runs_of_characters(spark):
+    texts = ["", "a", "ab", "abc", "abcdefghij", "a\nb\r\nc d", "x\U0001F600y\U0001F601zw", "\u0e01\u0e33\u0e01\u0e33", "aaaaaa", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for q in (1, 3, 5, 7):
+        got = df.select("s", T.char_shingles("s", q).alias("g"))
+        for r in got.collect():
+            want = None if r.s is None else [r.s] if len(r.s) < q else [r.s[i:i + q] for i in range(len(r.s) - q + 1)]
+            assert r.g == want, (r.s, q)
+        assert "lambdafunction" not in got._jdf.queryExecution().analyzed().toString()
