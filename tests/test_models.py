@@ -89,3 +89,30 @@ def test_labelled_rows_are_cut_from_the_texts_once(spark, sf_small):
     assert "product_description" not in s.columns and "product_description" in Q._labelled(spark, sf_small, description=True)[0].columns
     assert all("documents.parquet" not in f for df in (s, train, test) for f in df.inputFiles())
     assert train.count() + test.count() == s.count() > 0
+
+
+def test_scaled_vectors_equal_scaled_columns(spark):
+    from pyspark.sql import functions as F
+    from pyspark.ml.functions import vector_to_array
+    from relsift.operators import vectors as V
+    rows = [(i, i % 2, 1, i % 5 // 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, a int, b int, c int")
+    train = df.where("id < 25")
+    cols = V.standard_scale(train, df, ["a", "b", "c"])
+    arrays = df.select("id", F.array(*[F.col(c).cast("tinyint") for c in ("a", "b", "c")]).alias("x"))
+    vec = V.scaled_vector(arrays.where("id < 25"), arrays, "x", 3, "v").select("id", vector_to_array("v").alias("v"))
+    for r in vec.join(cols, "id").collect():
+        assert all(abs(x - y) < 1e-12 for x, y in zip(r.v, (r.a, r.b, r.c))), r
+    one = [r.a for r in cols.orderBy("id").collect()][:2]  # population deviation of 13 zeros and 12 ones
+    p = 12 / 25
+    assert abs(one[0] + p / (p * (1 - p)) ** 0.5) < 1e-12 and abs(one[1] - (1 - p) / (p * (1 - p)) ** 0.5) < 1e-12
+
+
+def test_scaling_many_columns_is_a_narrow_aggregate(spark):
+    from pyspark.sql import functions as F
+    from relsift.operators import vectors as V
+    n = 120
+    df = spark.range(20).select("id", *[(F.col("id") % (i + 2)).cast("double").alias(f"c{i}") for i in range(n)])
+    mean, sdev = V.moments(df, F.array(*[f"c{i}" for i in range(n)]), n)
+    assert len(mean) == len(sdev) == n and mean[0] == 0.5 and sdev[0] == 0.5
+    assert V.moments(df.limit(0), F.array("c0"), 1) == ([None], [1.0])
