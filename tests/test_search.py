@@ -141,3 +141,20 @@ def test_factors_are_the_ngram_weights(spark):
         assert want.keys() == got.keys() and want and all(abs(want[k] - got[k]) < 1e-9 for k in want)
         plain = {tuple(r) for r in TF.count_terms(TF.char_wb_rows(rows, F.col("s"), low, high)).collect()}
         assert {tuple(r) for r in TF.char_wb_counts(rows, F.col("s"), low, high).collect()} == plain
+
+
+def test_repeats_of_cross_validation_run_side_by_side(spark, monkeypatch):
+    import threading
+    from relsift.plans import ml_queries as Q
+    rows = spark.range(12).selectExpr("id", "cast(id % 2 as double) label", "cast(1 as double) features")
+    monkeypatch.setattr(Q, "_overlap_sets", lambda spark, sf_dir: (rows, None))
+    monkeypatch.setattr(Q, "CV_SCHEMES", ((2, 1), (3, 1)))
+    both = threading.Barrier(2, timeout=60)  # passed only if the two repeats meet
+
+    def predictions(fit, settings, folds, values):
+        both.wait()
+        return folds.selectExpr("'s' as setting", "fold", "id", "label", "label as prediction")
+
+    monkeypatch.setattr(Q.SE, "fold_predictions", predictions)
+    got = Q.q_repeated_cv(spark, None).collect()
+    assert sorted((r.folds, r.fold) for r in got) == [(2, 1), (2, 2), (3, 1), (3, 2), (3, 3)]
