@@ -56,3 +56,19 @@ def test_a_word_in_every_long_text(spark):
         [(str(i), "zhot " + " ".join(f"v{j:04d}" for j in range(i % 7, 2000, 7))) for i in range(50)], SCHEMA)
     whole, asked = both(spark, corpus.withColumn("n", F.lit(1)).withColumn("word", F.lit("clash")), ["zhot", "v0007"], 4, 5)
     assert asked == whole and len(asked) == 8
+
+
+def test_documents_go_through_the_shuffles_as_numbers(spark, monkeypatch):
+    seen, store = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, *folders: (seen.append(df.schema), store(df, *folders))[1])
+    corpus = spark.createDataFrame([(f"{i:032d}", "aa bb cc") for i in range(30)], SCHEMA)
+    assert C.closest_words_of(spark.createDataFrame([("bb",)], "word string"), corpus, 2, 5).count() == 2
+    kinds = {s["doc"].dataType.simpleString() for s in seen if "doc" in s.names}
+    assert kinds == {"bigint"}
+
+
+def test_corpus_reads_its_rows_once(spark):
+    rel = spark.createDataFrame([("t", "d"), ("t", None), ("d", "e"), (None, None), ("", "t")], "product_title string, product_description string")
+    corpus = C.corpus_a(rel)
+    assert sorted(r.text for r in corpus.collect()) == ["", "d", "e", "t"]
+    assert "Union" not in corpus._jdf.queryExecution().optimizedPlan().toString()
