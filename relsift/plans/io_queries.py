@@ -97,7 +97,7 @@ def q_src_corpus(spark, sf_dir):
 @register("src_distance_lines", _c(phrase_sql("dist"), NEEDED_CTE, dist_cte("dist", "npairs", "dfc")))
 def q_src_distance(spark, sf_dir):
     s = srel_shared(spark, sf_dir)
-    dist = C.phrase_distance(s, C.corpus_a(s))
+    dist = C.phrase_distance(s, C.corpus_a(s, stored=True))
     path = IO.write_lines(dist, IO.scratch_dir(spark, "distances"), "distance")
     return IO.read_distance_lines(spark, path)
 

@@ -229,7 +229,7 @@ def q_sort_asc(spark, sf_dir):
     from ..operators import corpus as C
     from ..operators.skew import rank_within
     s = srel_shared(spark, sf_dir)
-    dist = C.pair_distance(C.query_title_pairs(s), C.corpus_a(s))
+    dist = C.pair_distance(C.query_title_pairs(s), C.corpus_a(s, stored=True))
     finite = dist.where(F.col("distance").isNotNull() & (F.col("distance") != F.lit(float("inf"))))
     finite = finite.withColumn("distance", F.round("distance", 6))  # one order in both engines
     return rank_within(finite, [], ["distance", "word1", "word2"], out="rank").select(

@@ -212,3 +212,62 @@ def test_strips_and_pieces_of_a_tile(monkeypatch):
             assert (r["word1"], r["word2"]) not in got
             got[r["word1"], r["word2"]] = r["n"]
     assert got == {p: n for p, n in want.items() if n >= 3}
+
+
+def test_no_document_or_packed_word_is_shuffled_for_pairs(spark, monkeypatch):
+    """Words are packed where their documents are, and tiles read the folders of their bands."""
+    from relsift.operators import pair_counts as PC
+    made = []
+    keep = PC.materialize
+    monkeypatch.setattr(PC, "materialize", lambda df, *f: made.append(df) or keep(df, *f))
+    corp = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(60)], "doc int, text string")
+    pairs = C.word_cooccurrence(corp)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (pairs, made[-1])]
+    assert not any("RepartitionByExpression" in p or "RebalancePartitions" in p or "FlatMapGroups" in p for p in plans)
+    assert "Exchange" not in pairs._jdf.queryExecution().sparkPlan().toString()
+    assert pairs.agg(F.sum("n")).first()[0] == 60 * 3
+
+
+def test_sparse_and_dense_strips_agree(monkeypatch):
+    import numpy as np
+    from relsift.operators import pair_counts as PC
+    draw = np.random.default_rng(3)
+    chunks = []
+    for _ in range(3):  # the first numbers are in most documents, the last in few
+        there = draw.random((40, 90)) < np.linspace(0.8, 0.0, 90) ** 6
+        docs, lids = np.nonzero(there)
+        at, sizes = np.unique(docs, return_counts=True)
+        packed = tuple(v.tobytes() for v in (at.astype(np.int32), sizes.astype(np.int32), lids.astype(np.uint16)))
+        chunks.append((there.astype(int), PC._lookups(packed, packed, True)))
+    want = np.triu(sum(x.T @ x for x, _ in chunks), 1)
+    for counters, events, sparse in ((10**6, 10**6, 10**9), (180, 60, 1), (90, 10**6, 0)):
+        for name, value in (("COUNTERS", counters), ("EVENTS", events), ("SPARSE", sparse)):
+            monkeypatch.setattr(PC, name, value)
+        some = [c for _, c in chunks]
+        kinds = {s for _, _, s in PC._strips(some, 90, 90)}
+        assert kinds == ({False} if sparse == 10**9 else {True, False} if sparse else {True})
+        got = np.zeros((90, 90), int)
+        for a, b, n in PC._tile_counts(some, 90, 90, 1):
+            assert (got[a, b] == 0).all()
+            got[a, b] += n
+        assert (got == want).all()
+
+
+def test_documents_that_are_cut_by_a_batch_stay_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from relsift.operators import pair_counts as PC
+    monkeypatch.setattr(PC, "CHUNK_WORDS", 7)
+    doc = np.repeat([5, 3, 9, 4], [4, 12, 1, 6])
+    table = pa.table({"doc": doc, "band": pa.array([0] * len(doc), pa.int32()), "lid": pa.array(range(len(doc)), pa.int32())})
+    rows = [r for b in PC._pack_chunks(iter(table.to_batches(max_chunksize=5))) for r in b.to_pylist()]
+    sizes = [s for r in rows for s in np.frombuffer(r["sizes"], np.int32)]
+    assert sorted(sizes) == [1, 4, 6, 12] and len({r["chunk"] for r in rows}) == len(rows) > 1
+
+
+def test_corpus_of_a_stored_table(spark):
+    rel = spark.createDataFrame([("t", "d"), ("t", None), ("d", "e"), (None, "f"), ("", "e"), ("u", "u")], "product_title string, product_description string")
+    want = sorted(tuple(r) for r in C.corpus_a(rel).collect())
+    assert sorted(tuple(r) for r in C.corpus_a(rel, stored=True).collect()) == want and len(want) == 6
+    plan = C.corpus_a(rel, stored=True)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2
