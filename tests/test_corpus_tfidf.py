@@ -214,6 +214,26 @@ def test_strips_and_pieces_of_a_tile(monkeypatch):
     assert got == {p: n for p, n in want.items() if n >= 3}
 
 
+def test_pair_query_has_rare_and_short_words(spark, tmp_path):
+    """No word is left out for its length or its few documents."""
+    import duckdb
+    from itertools import combinations
+    import __spark_entry__ as E
+    texts = ["a rare word", "word b c", "rare a", "a rare word", "solo", " ".join(f"x{i}" for i in range(13)) + " tail of a text"]
+    rows = [(i, t, "en", f"s{i}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r["word1"], r["word2"]): r["n"] for r in E.queries()["word_cooccurrence"](spark, str(tmp_path)).collect()}
+    want = Counter()
+    for t in {*texts[:5], " ".join(f"x{i}" for i in range(12)), "x12 tail of a text"}:
+        want.update(combinations(sorted(set(t.split())), 2))
+    assert got == dict(want) and got["a", "rare"] == 2
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert {r[:2]: r[2] for r in con.execute(E.oracle_sql()["word_cooccurrence"]).fetchall()} == got
+
+
 def test_no_document_or_packed_word_is_shuffled_for_pairs(spark, monkeypatch):
     """Words are packed where their documents are, and tiles read the folders of their bands."""
     from relsift.operators import pair_counts as PC
