@@ -291,3 +291,20 @@ def test_corpus_of_a_stored_table(spark):
     assert sorted(tuple(r) for r in C.corpus_a(rel, stored=True).collect()) == want and len(want) == 6
     plan = C.corpus_a(rel, stored=True)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2
+
+
+def test_distances_by_class_are_counted_for_rated_rows_only(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    texts = ["red shoe big red hat", "blue hat big sock shoe", "red sock blue", "big red sock hat blue shoe"] * 3
+    rows = [(i, f"{t} n{i}", "en", f"s{i % 2}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    asked, keep = [], C.phrase_distance
+    monkeypatch.setattr(C, "phrase_distance", lambda rel, corp: asked.append((rel.count(), corp.count())) or keep(rel, corp))
+    got = {r["class"]: r.asDict() for r in E.queries()["distance_by_class"](spark, str(tmp_path)).collect()}
+    assert asked == [(5, 12)]
+    from relsift.plans.corpus_queries import _corpus
+    s, corp = _corpus(spark, str(tmp_path))
+    want = {r["class"]: r.asDict() for r in C.distance_by_class(keep(s, corp), s).collect()}
+    assert got.keys() == want.keys() and sum(r["n"] for r in got.values()) == 5
+    assert all(a == b or math.isclose(a, b, abs_tol=1e-6) for k in want for a, b in zip(got[k].values(), want[k].values()))
