@@ -158,3 +158,56 @@ def test_repeats_of_cross_validation_run_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(Q.SE, "fold_predictions", predictions)
     got = Q.q_repeated_cv(spark, None).collect()
     assert sorted((r.folds, r.fold) for r in got) == [(2, 1), (2, 2), (3, 1), (3, 2), (3, 3)]
+
+
+def test_every_setting_meets_every_fold():
+    settings = [{"p": p, "c": c} for p in (1, 2) for c in (1, 2, 3)]
+    scores = {(1, 1): 9, (2, 3): 5}
+    rows, best = SE.pipeline_search(settings, [1, 2, 3], lambda s: s["p"], lambda prefix, some, fold: fold,
+                                    lambda fold, s: scores.get((s["p"], s["c"]), 0) if fold == 1 else s["c"] * s["p"], keep=1.0, prefixes=2, fits=3)
+    assert len(rows) == 6 * 3 and best == {"p": 2, "c": 3}
+    assert [r["setting"] for r in rows[:6]] == settings  # in order, whoever is done first
+
+
+def test_random_search_draws_as_many_as_the_reference(spark, monkeypatch):
+    import __spark_entry__  # noqa: F401  (registers in order)
+    from relsift.plans import ml_queries as Q
+    asked = []
+
+    def search(spark, sf_dir, n, **more):
+        asked.append(n)
+        best = {"C": 4}
+        return spark.range(1), [{"setting": best, "name": "C=4", "score": 0.5}], best
+
+    monkeypatch.setattr(Q, "joined_search", search)
+    assert Q.q_random_search(spark, "").count() == 1 and asked == [250]
+
+
+def test_joined_search_scores_all_settings_on_all_folds(spark, tmp_path, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression, OneVsRest
+    from relsift.operators import models as M
+    import __spark_entry__  # noqa: F401  (registers in order)
+    from relsift.plans import ml_queries as Q
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["red", "blue", "shoe", "hat", "sock", "big"], 14)) for _ in range(60)]
+    spark.createDataFrame([(i, t, "en", f"s{i % 4}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(45)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sizes = []
+
+    def quick(C, n):
+        sizes.append(n)
+        return OneVsRest(classifier=LogisticRegression(maxIter=2), labelCol="label", featuresCol="features")
+
+    def svd(entries, k, apply_to, **more):  # quick, and its sign and scale do not matter here
+        at = apply_to.groupBy("id").agg({"weight": "sum"}).toDF("id", "w")
+        return at.selectExpr("id", f"transform(sequence(1, {k}), i -> w / i + id % (i + 1)) svd"), [1.0] * k
+
+    monkeypatch.setattr(M, "margin_classifier", quick)
+    monkeypatch.setattr(Q.SVD, "truncated_svd", svd)
+    space = {"ngrams": [(1, 2)], "min_df": [1], "components": [2, 4], "k": [3], "C": [4, 5]}
+    pred, scores, best = Q.joined_search(spark, str(tmp_path), 4, folds=2, space=space)
+    assert len(scores) == 4 * 2 and {r["fold"] for r in scores} == {1, 2} and len({r["name"] for r in scores}) == 4
+    assert len(sizes) == 4 * 2 + 1 and sizes[-1] == 45
+    assert sorted(r.id for r in pred.collect()) == list(range(45, 60))
+    means = {r["name"]: sum(x["score"] for x in scores if x["name"] == r["name"]) for r in scores}
+    assert means[SE.setting_name(best)] == max(means.values())
