@@ -211,3 +211,32 @@ def test_joined_search_scores_all_settings_on_all_folds(spark, tmp_path, monkeyp
     assert sorted(r.id for r in pred.collect()) == list(range(45, 60))
     means = {r["name"]: sum(x["score"] for x in scores if x["name"] == r["name"]) for r in scores}
     assert means[SE.setting_name(best)] == max(means.values())
+
+
+def test_a_fitted_model_is_not_kept(spark, monkeypatch):
+    """Predictions are stored fit by fit; with many rows fits come one after another."""
+    import threading
+    import gc
+    import weakref
+    alive, most, lock = weakref.WeakSet(), [], threading.Lock()
+
+    class Model:
+        def transform(self, df):
+            return df.withColumn("prediction", df["label"])
+
+    def fit(setting, train):
+        gc.collect()
+        with lock:
+            most.append(len(alive))
+            m = Model()
+            alive.add(m)
+        return m
+
+    folds = spark.range(30).selectExpr("id", "cast(id % 2 as double) label", "cast(id % 3 + 1 as int) fold")
+    monkeypatch.setattr(SE, "SIDE_BY_SIDE_ROWS", 10)
+    out = SE.fold_predictions(fit, [{"a": 1}, {"a": 2}], folds)
+    gc.collect()
+    assert max(most) == 0 and len(most) == 6 and not alive
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 6 and "Project" not in plan  # six stored tables, nothing left to predict
+    assert out.count() == 60
