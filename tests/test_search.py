@@ -240,3 +240,24 @@ def test_a_fitted_model_is_not_kept(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 6 and "Project" not in plan  # six stored tables, nothing left to predict
     assert out.count() == 60
+
+
+def test_a_block_of_rows_grows_in_place():
+    """What a task holds of a block is not twice or three times its rows."""
+    import tracemalloc
+    import pyarrow as pa
+
+    class Frame:  # gives the function that runs in the tasks
+        def __getattr__(self, name):
+            return lambda *a, **k: a[0] if name == "mapInArrow" else self
+
+    width, n, step = 64, 40_000, 500
+    run = svd._by_block(Frame(), Frame(), width, lambda ids, y, entries: [(len(ids), y.sum(), y.base.nbytes if y.base is not None else y.nbytes)], "", keep=False)
+    batches = (pa.RecordBatch.from_pydict({"block": [0], "term": ["t"], "ids": [list(range(lo, lo + step))], "weights": [[1.0] * step],
+                                           "vec": pa.array([np.ones(width).tobytes()], pa.binary())}) for lo in range(0, n, step))
+    tracemalloc.start()
+    (rows, total, held), = list(run(batches))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and total == n * width
+    assert held <= n * width * 8 * 1.3 and most < n * width * 8 * 1.8
