@@ -308,3 +308,15 @@ def test_distances_by_class_are_counted_for_rated_rows_only(spark, tmp_path, mon
     want = {r["class"]: r.asDict() for r in C.distance_by_class(keep(s, corp), s).collect()}
     assert got.keys() == want.keys() and sum(r["n"] for r in got.values()) == 5
     assert all(a == b or math.isclose(a, b, abs_tol=1e-6) for k in want for a, b in zip(got[k].values(), want[k].values()))
+
+
+def test_tiles_of_a_group_need_few_scans(spark, monkeypatch):
+    from relsift.operators import pair_counts as PC
+    texts = [" ".join(f"w{j}" for j in range(i % 3, 60, 3)) for i in range(9)]
+    corp = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    monkeypatch.setattr(C, "PAIR_BLOCK", 12)
+    monkeypatch.setattr(PC, "TILE_TASKS", 4)
+    pairs = C.word_cooccurrence(corp)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 10
+    got = {(r["word1"], r["word2"]): r["n"] for r in pairs.collect()}
+    assert len(got) == 3 * 190 and set(got.values()) == {3}
